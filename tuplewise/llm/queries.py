@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op7_canonical_digest
+from .near_dedup import op9_hyperminhash
 from .packing import op3_karmarkar_karp
 from .sharding import op2_virtual_slots
+from .suffix_dedup import op10_bwt_expansion
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +18,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_virtual_slots": op2_virtual_slots,
         "op3_karmarkar_karp": op3_karmarkar_karp,
         "op7_canonical_digest": op7_canonical_digest,
+        "op9_hyperminhash": op9_hyperminhash,
+        "op10_bwt_expansion": op10_bwt_expansion,
     }
 
 
