@@ -55,6 +55,17 @@ def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(4)) == 2, F.lit(False))
 
 
+def sampled(df: DataFrame, id_col: str, label_col: str, sample: int, seed: int) -> DataFrame:
+    """At most ``sample`` rows of ``df`` with a label, to fit a classifier on: the first by a hash of their ids.
+
+    Ids and labels alone are sorted; the chosen ids, ``sample`` at most, then fetch their rows. Null ids and
+    ids of several labelled rows are not chosen, as they could fetch any number of rows.
+    """
+    ids = df.where(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).count().where("count = 1")
+    chosen = ids.select(F.col(id_col).alias("_chosen")).orderBy(F.xxhash64(F.lit(seed), "_chosen"), "_chosen").limit(sample)
+    return df.where(F.col(label_col).isNotNull()).join(F.broadcast(chosen), F.col(id_col) == F.col("_chosen"), "left_semi")
+
+
 def summed(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     """Sums equally long arrays of bytes.
 

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op7_canonical_digest
+from .language_id import op8_subword_embeddings
 from .near_dedup import op9_hyperminhash
 from .packing import op3_karmarkar_karp
+from .quality import op4_ftrl
 from .sharding import op2_virtual_slots
 from .suffix_dedup import op10_bwt_expansion
 
@@ -17,6 +19,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_virtual_slots": op2_virtual_slots,
         "op3_karmarkar_karp": op3_karmarkar_karp,
+        "op4_ftrl": op4_ftrl,
+        "op8_subword_embeddings": op8_subword_embeddings,
         "op7_canonical_digest": op7_canonical_digest,
         "op9_hyperminhash": op9_hyperminhash,
         "op10_bwt_expansion": op10_bwt_expansion,
