@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .fingerprints import op7_canonical_digest
+from .html_extraction import op1_equivalence_classes
 from .language_id import op8_subword_embeddings
 from .near_dedup import op9_hyperminhash
 from .packing import op3_karmarkar_karp
@@ -17,6 +18,7 @@ from .suffix_dedup import op10_bwt_expansion
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_equivalence_classes": op1_equivalence_classes,
         "op2_virtual_slots": op2_virtual_slots,
         "op3_karmarkar_karp": op3_karmarkar_karp,
         "op4_ftrl": op4_ftrl,
