@@ -1,4 +1,77 @@
-STAGES = []
+"""A corpus pipeline: language, near duplicates, repeated passages, benchmark leaks, packing.
+
+Every stage takes (spark, docs, sf_dir) and works on all documents that its predecessor kept. Its result is
+written as Parquet and read again as the next one's documents.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tuplewise.llm import decontamination, language_id, near_dedup, packing, suffix_dedup
+from tuplewise.llm._common import documents, materialise
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+
+
+def _by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    ids = ids.select(F.col("doc_id").alias("_id")).distinct()
+    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("_id")), how).select(*COLUMNS)
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that language identification rejects: no letters, or no language that is likely enough."""
+    model = language_id.fit(docs)
+    return language_id.identify(docs, model).where(~F.col("lang_rejected")).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps one document, that of the smallest id, of each group of near duplicates: five-word shingles, 0.8.
+
+    Rows that repeat an id and a text are one document.
+    """
+    found = near_dedup.near_duplicates(docs, words=5, percent=80)
+    kept = _by_id(docs, found.where("kept"), "left_semi")
+    if found.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])
+
+
+def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Removes strings of 200 bytes that recur anywhere from the texts; characters that a cut left in part go too."""
+    out = suffix_dedup.remove_repeats(docs, carry=("doc_id", "lang", "source", "text"))
+    rest = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
+    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(rest)
+    return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that leak a benchmark item."""
+    return _by_id(docs, decontamination.leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet")), "left_anti")
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sequences of at most 2048 ids: one row per piece of a document."""
+    import public_tokenizers
+
+    return packing.pack(docs, str(public_tokenizers.path(packing.TOKENIZER)))
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", drop_repeats),
+    ("decontamination", decontaminate),
+    ("packing", pack),
+]
+
+#: Learnt models, registers and a random sketch are beyond SQL; tests hold each stage against brute force.
 ORACLE_SQL = None
-def run(spark, sf_dir):
-    raise NotImplementedError
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(*COLUMNS)
+    for name, stage in STAGES:
+        docs = materialise(stage(spark, docs, sf_dir), f"stage-{name}")
+    return docs

@@ -23,7 +23,7 @@ WORDS = 1 << 14
 RANK = 64
 BLOCK = 16
 #: A candidate passage has this cosine with an item's passage, and holds this share of its TF-IDF weight.
-COSINE, OVERLAP = 0.4, 0.3
+COSINE, OVERLAP = 0.3, 0.3
 #: An item leaks with this share of its words in order, or with the lower one if its answer is there too.
 LCS, LCS_ANSWER = 0.8, 0.65
 #: Items are taken in blocks of so many.
@@ -179,11 +179,11 @@ def queries(texts: list[str | None], space: Space) -> Queries:
         parts = [ids] if len(ids) <= 3 * BLOCK else [p for p in (ids[at : at + wide] for at in range(0, len(ids), wide)) if len(p) >= BLOCK]
         for part in parts:
             if len(part):
-                v, w = space.fold[part].sum(axis=0), np.bincount(part, space.idf[part], WORDS)
+                v, w = space.fold[part].sum(axis=0), np.bincount(part, space.idf[part], WORDS + 1)
                 vectors.append(v / max(np.linalg.norm(v), 1e-12))
                 weights.append((w / max(w.sum(), 1e-12)).astype(np.float32))
                 item.append(i)
-    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), np.array(weights, np.float32).reshape(-1, WORDS), np.array(item, np.int64))
+    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), np.array(weights, np.float32).reshape(-1, WORDS + 1), np.array(item, np.int64))
 
 
 def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
@@ -207,12 +207,18 @@ def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = CO
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             seen = {}
             for lo in range(0, len(vectors), 2048):
-                for p, k in zip(*np.nonzero(vectors[lo : lo + 2048] @ q.vectors.T >= cosine), strict=True):
-                    p += lo
-                    held = q.weights[k][np.unique(flat[starts[first[p]] : ends[p]])].sum()
-                    if held >= overlap:
-                        i, at, _ = chunk[segment[first[p]]]
-                        seen[i, int(q.item[k]), at + int(number[first[p]]) * BLOCK] = None
+                p, k = np.nonzero(vectors[lo : lo + 2048] @ q.vectors.T >= cosine)
+                if not len(p):
+                    continue
+                at = starts[first[lo : lo + 2048]][:, None] + np.arange(2 * BLOCK)
+                own = np.sort(np.where(at < ends[lo : lo + 2048][:, None], flat[np.minimum(at, len(flat) - 1)], np.uint16(WORDS)), axis=1)
+                own[:, 1:][own[:, 1:] == own[:, :-1]] = WORDS  # each column once
+                for part in range(0, len(p), 20_000):
+                    pp, kk = p[part : part + 20_000], k[part : part + 20_000]
+                    held = q.weights[kk[:, None], own[pp]].sum(axis=1) >= overlap
+                    for x, y in zip((pp[held] + lo).tolist(), kk[held].tolist(), strict=True):
+                        i, at_word, _ = chunk[segment[first[x]]]
+                        seen[i, int(q.item[y]), at_word + int(number[first[x]]) * BLOCK] = None
             if seen:
                 keys = batch.column(0).take(pa.array([x[0] for x in seen]))
                 yield pa.RecordBatch.from_arrays([keys, pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.int64())], ["id", "item", "at"])
