@@ -10,7 +10,7 @@ exceeds the capacity, the block's window count rises by one until it fits.
 from __future__ import annotations
 
 import heapq
-import re
+import unicodedata
 import zlib
 
 import numpy as np
@@ -24,34 +24,57 @@ BLOCK_WINDOWS = 256
 TOKENIZER = "word_bpe_49k.json"
 
 
-class ChunkTokens(dict):
+#: The pre-tokens of the tokenizer's file.
+PRE_TOKENS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable ones stand for themselves."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    return {b: chr(b) for b in own} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+class RunTokens(dict):
     """Maps a run of non-space characters to its ids as little-endian unsigned 32-bit bytes.
 
-    The tokenizer drops white space and never joins across it, so a text's ids are its runs' ids in order.
-    Forgets all beyond ``most`` runs.
+    The tokenizer drops white space and never joins across it, so a text's ids are its runs' ids in order,
+    and a run's are its pre-tokens'. Both are remembered; all beyond ``most`` of either kind is forgotten.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 600_000):
+        import regex
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.tokenizer = most, Tokenizer.from_file(path)
+        self.most, self.words = most, {}
+        self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model, self.split, self.letters = self.tokenizer.model, regex.compile(PRE_TOKENS).findall, _byte_letters()
 
-    def learn(self, runs: set[str]) -> None:
-        if len(self) + len(runs) > self.most:
+    def word(self, word: str) -> bytes:
+        if len(self.words) >= self.most:
+            self.words.clear()
+        plain = word if word.isascii() and word.isprintable() else word.encode("utf-8").decode("latin-1").translate(self.letters)
+        found = self.words[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(plain)])
+        return found
+
+    def __missing__(self, run: str) -> bytes:
+        if len(self) >= self.most:
             self.clear()
-        runs = list(runs)
-        for run, e in zip(runs, self.tokenizer.encode_batch_fast(runs, add_special_tokens=False), strict=True):
-            self[run] = np.asarray(e.ids, "<u4").tobytes()
+        plain = run if run.isascii() else unicodedata.normalize("NFC", run)
+        plain = plain.lower() if "\u03a3" not in plain else "".join([c.lower() for c in plain])  # a final sigma is none here
+        found = self[run] = b"".join([self.words.get(w) or self.word(w) for w in self.split(plain)])
+        return found
 
     def ids(self, text: str) -> bytes:
-        #: Python's split() takes these for white space, the tokenizer does not.
-        runs = text.split() if not re.search("[\x1c-\x1f]", text) else re.findall(r"(?:[\x1c-\x1f]|\S)+", text)
-        missing = set(runs) - self.keys()
-        if missing:
-            self.learn(missing)
-        return b"".join(map(self.__getitem__, runs))
+        if any(c in text for c in _NOT_SPACE):
+            return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.__getitem__, text.split()))
+
+
+#: White space to Python's split(), but not to the tokenizer.
+_NOT_SPACE = "\x1c\x1d\x1e\x1f"
 
 
 def cuts(n: int, window: int = WINDOW) -> list[int]:
@@ -102,7 +125,7 @@ def windows(sizes: list[int], window: int = WINDOW) -> list[list[int]]:
     return full
 
 
-_tokens: dict[str, ChunkTokens] = {}
+_tokens: dict[str, RunTokens] = {}
 
 
 def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
@@ -113,7 +136,7 @@ def pieces(df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         import pyarrow as pa
         from pyspark import TaskContext
 
-        tokens = _tokens.setdefault(tokenizer, ChunkTokens(tokenizer))
+        tokens = _tokens.setdefault(tokenizer, RunTokens(tokenizer))
         serial = TaskContext.get().partitionId() << 40
         names = ["start", "length", "ids_crc32", "doc_tokens", "serial"]
         for batch in batches:
