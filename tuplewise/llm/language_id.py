@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -80,6 +81,11 @@ class Model:
     temperature: float
     bar: float
 
+    @cached_property
+    def table(self) -> np.ndarray:
+        """A contiguous row of logits for each language, with a zero at BUCKETS."""
+        return np.vstack((self.logits, np.zeros((1, len(self.languages)), np.float32))).T.copy()
+
     def probabilities(self, texts: list[bytes]) -> np.ndarray:
         """A row for each non-empty text, as letters() gives it."""
         flat = np.frombuffer(b"".join(texts), np.uint8)
@@ -93,9 +99,9 @@ class Model:
                 b, m = b[:_CHUNK], m[:_CHUNK]  # a text ends in a space, so no gram of a word joins two texts
                 first = starts[starts < len(m)]
                 if len(first):
-                    rows = self.logits[b]
-                    rows[~m] = 0
-                    total[lo : lo + len(first)] += np.add.reduceat(rows, first, axis=0)
+                    b = np.where(m, b, BUCKETS)
+                    for k, row in enumerate(self.table):
+                        total[lo : lo + len(first), k] += np.add.reduceat(row.take(b), first, dtype=np.float64)
                     n[lo : lo + len(first)] += np.add.reduceat(m, first, dtype=np.int64)
         return _softmax((total / np.maximum(n, 1)[:, None] + self.bias) / self.temperature)
 
