@@ -69,10 +69,11 @@ def sampled(df: DataFrame, id_col: str, label_col: str, sample: int, seed: int)
 def summed(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     """Sums equally long arrays of bytes.
 
-    ``parts`` has block long, part long, data binary; ``data`` are numbers of ``dtype``. Adds ``fan_in``
-    parts at a time, so no task ever holds more than that many arrays. Returns block, data.
+    ``parts`` has block long, part long, data binary; part is the number of the task that made the row, and
+    ``data`` are numbers of ``dtype``. Adds ``fan_in`` parts at a time, so no task ever holds more than that
+    many arrays. Returns block, data.
     """
-    most = parts.agg(F.max("part")).first()[0]
+    most = parts.rdd.getNumPartitions() - 1
 
     def add(key, table):
         import pyarrow as pa
@@ -86,7 +87,7 @@ def summed(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     import pyarrow as pa
 
     schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
-    while most is not None:
+    while True:
         parts = parts.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("block", "part").applyInArrow(add, "block long, part long, data binary")
         most //= fan_in
         if most == 0:

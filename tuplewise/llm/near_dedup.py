@@ -6,9 +6,10 @@ shingles, so that short sets fill each of them too. Bands of registers bucket th
 registers, corrected for chance collisions of the compressed values, estimates the Jaccard similarity of a
 candidate pair, and pairs that may pass are checked on their full sets.
 
-Equal sets are one node from the start, so copies never form pairs. In a bucket, all members first meet the
-smallest one only. Pairs within one component are settled then; pairs of one bucket across components are
-all checked in a second round, so no link that a bucket shows is lost.
+Equal sets are one node from the start, so copies never form pairs. In a bucket, all members first meet one
+hub only. Pairs within one component are settled then. Members of buckets that still hold several components
+meet again across components, if the rare shingles at the front of their sets allow the similarity; that
+filter is exact, so no link that a bucket shows is lost, and a large group does not make all its pairs.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, materialise, mixed
+from ._common import WordHashes, documents, materialise, mixed, summed
 from .graphs import components
 
 BANDS, ROWS = 25, 5
@@ -138,9 +139,9 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
         for batch in batches:
             k = band_keys(_fixed(batch.column(1), np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS)), pa.array(np.repeat(batch.column(2).to_numpy(), BANDS))], ["key", "c", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "c"])
 
-    return nodes.select("c", "registers", "n").mapInArrow(keys, "key long, c long, n long")
+    return nodes.select("c", "registers").mapInArrow(keys, "key long, c long")
 
 
 def _hopeful(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
@@ -160,14 +161,9 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     return both.select("a", "b", "ra", "rb").mapInArrow(check, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """The pairs with 100 * intersection >= percent * union on full sets.
-
-    Sets are made again from the texts of the nodes in ``pairs`` only.
-    """
-    spark = df.sparkSession
-    ends = pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
-    needed = materialise(nodes.join(ends, "c", "left_semi").select("c", "set_key", F.col("class_id").alias("_id")), "needed")
+def _sets(wanted: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(c, data): the full sets of the nodes ``wanted`` (c), made again from their texts only."""
+    needed = materialise(nodes.join(wanted, "c", "left_semi").select("c", "set_key", F.col("class_id").alias("_id")), "needed")
     ids = needed.select("_id").distinct()
     if needed.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -182,7 +178,12 @@ def _confirmed(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, t
                 sets = [shingles(t.as_py(), words).tobytes() for t in batch.column(0).slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_key", "data"])
 
-    sets = materialise(texts.select("text").mapInArrow(make, "set_key binary, data binary").join(needed.select("c", "set_key"), "set_key").dropDuplicates(["c"]).select("c", "data"), "sets")
+    made = texts.select("text").mapInArrow(make, "set_key binary, data binary").join(needed.select("c", "set_key"), "set_key")
+    return materialise(made.dropDuplicates(["c"]).select("c", "data"), "sets")
+
+
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs with 100 * intersection >= percent * union on full sets."""
 
     def check(batches):
         import pyarrow as pa
@@ -204,6 +205,65 @@ def _confirmed(pairs: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, t
     return materialise(both.select("a", "b", "da", "db").mapInArrow(check, "a long, b long"), "links")
 
 
+def _ends(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
+
+
+def _frequencies(sets: DataFrame) -> np.ndarray:
+    """Counts of the shingles of ``sets`` in a hashed table, of about as many cells as there are shingles."""
+    total = sets.agg(F.sum(F.length("data"))).first()[0] or 0
+    bits = min(22, max(12, (total // 8).bit_length()))
+
+    def count(batches):
+        import pyarrow as pa
+        from pyspark import TaskContext
+
+        table = np.zeros(1 << bits, np.int32)
+        for batch in batches:
+            every = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
+            table += np.bincount((every >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits).astype(np.int32)
+        for i, part in enumerate(np.split(table, 4)):
+            yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([TaskContext.get().partitionId()]), pa.array([part.tobytes()], pa.binary())], ["block", "part", "data"])
+
+    got = summed(sets.select("data").mapInArrow(count, "block long, part long, data binary"), "<i4").collect()
+    return np.concatenate([np.frombuffer(r["data"], "<i4") for r in sorted(got, key=lambda r: r.block)]) if got else np.zeros(1 << bits, np.int32)
+
+
+def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that can reach the similarity, by the rare shingles they share.
+
+    All shingles have one order, rare ones first. Sets of that similarity share a shingle among their first
+    few, and the first one they share leaves enough behind it in both. Only pairs for which that holds meet.
+    A shingle's most frequent root meets the others only, so one large component costs no pairs of its own.
+    """
+    table = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+    def first_few(batches):
+        import pyarrow as pa
+
+        counts = table.value
+        shift = np.uint64(64 - (len(counts) - 1).bit_length())
+        for batch in batches:
+            out = []
+            for c, root, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(data.as_buffer(), np.uint64)
+                n = len(x) - (percent * len(x) + 99) // 100 + 1
+                x = x[np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[:n]]
+                out.append((x.view(np.int64), np.arange(1, n + 1), np.full(n, len(data.as_buffer()) // 8), np.full(n, c), np.full(n, root)))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], ["x", "p", "n", "c", "root"])
+
+    few = mixed_nodes.join(sets, "c").select("c", "root", "data").mapInArrow(first_few, "x long, p long, n long, c long, root long")
+    few = materialise(few, "prefixes")
+    roots = few.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("x", "main")
+    few = materialise(few.join(roots, "x"), "shared-prefixes")
+    a = few.where("root <> main").select("x", *[F.col(v).alias(v + "a") for v in ("p", "n", "c", "root")])
+    b = few.select("x", "main", *[F.col(v).alias(v + "b") for v in ("p", "n", "c", "root")])
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1
+    can = (left * (100 + percent) >= percent * (F.col("na") + F.col("nb"))) & (F.col("roota") != F.col("rootb")) & ((F.col("rootb") == F.col("main")) | (F.col("ca") < F.col("cb")))
+    return a.join(b, ["x"]).where(can).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept.
 
@@ -214,27 +274,28 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     table. Other columns are ignored.
     """
     rows = materialise(_profiles(df, id_col, text_col, words), "profiles")
-    nodes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("class_id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"))
+    nodes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("class_id"), F.first("registers").alias("registers"))
     nodes = materialise(nodes.withColumn("c", F.monotonically_increasing_id()), "nodes")
 
     keyed = _keyed(nodes)
-    hubs = keyed.groupBy("key").agg(F.min("c").alias("hub"), F.max("c").alias("other")).where("hub < other").select("key", "hub")
-    shared = materialise(keyed.join(hubs, "key"), "buckets")
-    stars = shared.where("c > hub").select(F.col("hub").alias("a"), F.col("c").alias("b")).distinct()
-    tried = materialise(_hopeful(stars, nodes, percent / 100), "stars")
-    links = _confirmed(tried, df, nodes, id_col, text_col, words, percent)
+    several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = materialise(keyed.join(several, "key"), "buckets")
+    #: The hub of a bucket is the member with most company in all its buckets, for copies mostly the text they stem from.
+    company = shared.groupBy("c").agg(F.sum("size").alias("company"))
+    hubs = shared.join(company, "c").groupBy("key").agg(F.max_by("c", F.struct("company", "c")).alias("hub"))
+    stars = shared.join(hubs, "key").where("c <> hub").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct()
+    stars = materialise(stars, "stars")
+    tried = materialise(_hopeful(stars, nodes, percent / 100), "tried")
+    links = _confirmed(tried, _sets(_ends(tried), df, nodes, id_col, text_col, words), percent)
     roots = materialise(components(links), "roots")
 
-    #: Buckets that still hold several components: all pairs across them, those tried before aside.
     at = shared.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
-    mixed_keys = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    at = materialise(at.join(mixed_keys, "key", "left_semi").select("key", "c", "root", "n"), "mixed")
-    a, b = (at.select("key", *[F.col(x).alias(x + s) for x in ("c", "root", "n")]) for s in "ab")
-    like = (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (F.col("ca") < F.col("cb")) & (F.col("roota") != F.col("rootb"))
-    across = a.join(b, "key").where(like).select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct()
-    across = materialise(_hopeful(across.join(stars, ["a", "b"], "left_anti"), nodes, percent / 100), "across")
-    if not across.isEmpty():
-        links = links.union(_confirmed(across, df, nodes, id_col, text_col, words, percent))
+    split = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    rest = materialise(at.join(split, "key", "left_semi").select("c", "root").distinct(), "mixed")
+    if not rest.isEmpty():
+        sets = _sets(rest.select("c"), df, nodes, id_col, text_col, words)
+        across = _hopeful(_across(rest, sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100)
+        links = links.union(_confirmed(materialise(across, "across"), sets, percent))
         roots = materialise(components(links), "roots")
 
     placed = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("set_key", "class_id", F.coalesce("root", "c").alias("root"))
