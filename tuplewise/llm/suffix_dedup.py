@@ -62,7 +62,7 @@ def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
         key = (key << 9) | padded[i : i + n]
     have = 7
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate(([1], ranked[1:] != ranked[:-1])))
@@ -127,24 +127,24 @@ def _spans(mask: np.ndarray) -> bytes:
 
 
 def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
-    """Every context of every text: text key t1, t2; anchor; context digest c1, c2; first; count; serial number."""
+    """Every context of every text: text key t1, t2; anchor; context digest c; first; count; serial number."""
 
     def scan(batches):
         import pyarrow as pa
         import xxhash
         from pyspark import TaskContext
 
-        names = ["t1", "t2", "anchor", "c1", "c2", "first", "count", "serial"]
+        names = ["t1", "t2", "anchor", "c", "first", "count", "serial"]
         serial = TaskContext.get().partitionId() << 40
 
         def flush(rows):
             nonlocal serial
             n = sum(len(r[2]) for r in rows)
             t1, t2 = (np.repeat([r[i] for r in rows], [len(r[2]) for r in rows]) for i in (0, 1))
-            digest = np.frombuffer(b"".join(r[5] for r in rows), np.int64).reshape(-1, 2)
+            digest = np.concatenate([r[5] for r in rows]).view(np.int64)
             anchor, first, count = (np.concatenate([r[i] for r in rows]) for i in (2, 3, 4))
             serial += n
-            return pa.RecordBatch.from_arrays([*map(pa.array, (t1, t2, anchor, digest[:, 0], digest[:, 1], first, count, np.arange(serial - n, serial)))], names)
+            return pa.RecordBatch.from_arrays([*map(pa.array, (t1, t2, anchor, digest, first, count, np.arange(serial - n, serial)))], names)
 
         for batch in batches:
             rows, size = [], 0
@@ -155,7 +155,7 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
                 view = memoryview(data)
                 anchor, first, count = contexts(np.frombuffer(view, np.uint8), length)
                 ends = (first + count + length - 1).tolist()
-                rows.append((t1, t2, anchor, first, count, b"".join([xxhash.xxh3_128_digest(view[a:b]) for a, b in zip(first.tolist(), ends, strict=True)])))
+                rows.append((t1, t2, anchor, first, count, np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], np.uint64)))
                 size += len(first)
                 if size >= 50_000:
                     yield flush(rows)
@@ -163,11 +163,11 @@ def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
             if rows:
                 yield flush(rows)
 
-    return keyed.select("t1", "t2", "text").mapInArrow(scan, "t1 long, t2 long, anchor long, c1 long, c2 long, first long, count long, serial long")
+    return keyed.select("t1", "t2", "text").mapInArrow(scan, "t1 long, t2 long, anchor long, c long, first long, count long, serial long")
 
 
 def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, c1, c2, data) from rows of a text and its wanted contexts."""
+    """(anchor, c, data) from rows of a text and its wanted contexts."""
 
     def cut(batches):
         import pyarrow as pa
@@ -176,57 +176,57 @@ def _cut(texts: DataFrame, length: int) -> DataFrame:
             rows = []
             for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
                 view = memoryview(text.as_buffer())
-                rows += [(w["anchor"], w["c1"], w["c2"], bytes(view[w["first"] : w["first"] + w["count"] + length - 1])) for w in wanted.as_py()]
+                rows += [(w["anchor"], w["c"], bytes(view[w["first"] : w["first"] + w["count"] + length - 1])) for w in wanted.as_py()]
             for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows[at : at + 20_000], strict=True))], ["anchor", "c1", "c2", "data"])
+                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows[at : at + 20_000], strict=True))], ["anchor", "c", "data"])
 
-    return texts.mapInArrow(cut, "anchor long, c1 long, c2 long, data binary")
+    return texts.mapInArrow(cut, "anchor long, c long, data binary")
 
 
 def _walk(data: DataFrame, n_blocks: int, length: int) -> DataFrame:
-    """(anchor, c1, c2, spans) of contexts, block by block."""
+    """(anchor, c, spans) of contexts, block by block."""
 
     def block(key, table):
         import pyarrow as pa
 
         pieces = [x.as_py() for x in table.column("data")]
         spans = [_spans(m) for m in repeated(pieces, length)]
-        return table.select(["anchor", "c1", "c2"]).append_column("spans", pa.array(spans, pa.binary()))
+        return table.select(["anchor", "c"]).append_column("spans", pa.array(spans, pa.binary()))
 
-    return data.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block").applyInArrow(block, "anchor long, c1 long, c2 long, spans binary")
+    return data.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block").applyInArrow(block, "anchor long, c long, spans binary")
 
 
 def _counted(data: DataFrame, length: int) -> DataFrame:
-    """(anchor, c1, c2, spans) of contexts, by counting single strings."""
+    """(anchor, c, spans) of contexts, by counting single strings."""
 
     def strings(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            for i, d in enumerate(batch.column(3)):
+            for i, d in enumerate(batch.column(2)):
                 view = memoryview(d.as_buffer())
                 n = len(view) - length + 1
                 h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(n, batch.column(k)[i].as_py())) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "c1", "c2", "at", "h1", "h2"])
+                same = [pa.array(np.full(n, batch.column(k)[i].as_py())) for k in range(2)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "c", "at", "h1", "h2"])
 
-    each = data.select("anchor", "c1", "c2", "data").mapInArrow(strings, "anchor long, c1 long, c2 long, at long, h1 long, h2 long")
+    each = data.select("anchor", "c", "data").mapInArrow(strings, "anchor long, c long, at long, h1 long, h2 long")
     twice = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    hit = each.join(twice, ["h1", "h2"], "left_semi").groupBy("anchor", "c1", "c2").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    hit = each.join(twice, ["h1", "h2"], "left_semi").groupBy("anchor", "c").agg(F.array_sort(F.collect_set("at")).alias("at"))
 
     def join_up(batches):
         import pyarrow as pa
 
         for batch in batches:
             spans = []
-            for at in batch.column(3):
+            for at in batch.column(2):
                 mask = np.zeros(length, bool)
                 mask[at.values.to_numpy()] = True
                 spans.append(_spans(mask))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.binary())], ["anchor", "c1", "c2", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.binary())], ["anchor", "c", "spans"])
 
-    return hit.mapInArrow(join_up, "anchor long, c1 long, c2 long, spans binary")
+    return hit.mapInArrow(join_up, "anchor long, c long, spans binary")
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -240,7 +240,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
     key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
     keyed = df.select(F.col(text_col).alias("text")).select(*key, "text")
     seen = materialise(_occurrences(keyed, length), "contexts")
-    context = ["anchor", "c1", "c2"]
+    context = ["anchor", "c"]
     kinds = seen.groupBy(*context).agg(F.count("*").alias("n"), F.min("serial").alias("serial"), F.first("count").alias("count"))
     kinds = materialise(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum(F.col("count") + length).alias("size")).where("total > 1"), "anchor"), "kinds")
 
@@ -273,7 +273,13 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
         for batch in batches:
             for at in range(0, len(batch), 1000):
                 part = batch.slice(at, 1000)
-                rows = [_without(t.as_buffer() if t.is_valid else b"", m.as_py() or (), length) for t, m in zip(part.column(n), part.column(n + 1), strict=True)]
+                marks = part.column(n + 1)
+                ends, flat = marks.offsets.to_numpy(), marks.values
+                first, count, spans = flat.field("first").to_numpy(), flat.field("count").to_numpy(), flat.field("spans")
+                valid, rows = marks.is_valid().to_pylist(), []
+                for i, t in enumerate(part.column(n)):
+                    a, b = (ends[i], ends[i + 1]) if valid[i] else (0, 0)
+                    rows.append(_without(t.as_buffer() if t.is_valid else b"", first[a:b], count[a:b], spans[a:b], length))
                 more = [pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *more], [*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
@@ -282,15 +288,18 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
     return texts.select(*[f"_{i}" for i in range(len(carry))], "text", "marks").mapInArrow(remove, schema)
 
 
-def _without(data, marks, length: int) -> tuple[int, int, int, bytes]:
+def _without(data, first: np.ndarray, count: np.ndarray, spans, length: int) -> tuple[int, int, int, bytes]:
+    """Bytes, removed bytes, removed runs and the rest of a text with marked contexts; a null span marks all of one."""
     view = memoryview(data)
-    if not marks:
+    if not len(first):
         return len(view), 0, 0, bytes(view)
-    edge = np.zeros(len(view) + 1, np.int64)
-    for m in marks:
-        at = np.array([0, m["count"]]) if m["spans"] is None else np.frombuffer(m["spans"], "<i4").astype(np.int64)
-        np.add.at(edge, m["first"] + at[::2], 1)
-        np.add.at(edge, m["first"] + at[1::2] + length - 1, -1)
+    some = spans.is_valid().to_numpy(zero_copy_only=False)
+    begin, end = [first[~some]], [(first + count)[~some]]
+    for i in np.flatnonzero(some).tolist():
+        at = np.frombuffer(spans[i].as_buffer(), "<i4") + first[i]
+        begin.append(at[::2])
+        end.append(at[1::2])
+    edge = np.bincount(np.concatenate(begin), minlength=len(view) + 1) - np.bincount(np.concatenate(end) + length - 1, minlength=len(view) + 1)
     gone = np.cumsum(edge[:-1]) > 0
     runs = int(gone[0]) + int((gone[1:] & ~gone[:-1]).sum())
     return len(view), int(gone.sum()), runs, np.frombuffer(view, np.uint8)[~gone].tobytes()
