@@ -40,9 +40,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Removes strings of 200 bytes that recur anywhere from the texts; characters that a cut left in part go too."""
-    out = suffix_dedup.remove_repeats(docs, carry=("doc_id", "lang", "source", "text"))
-    rest = F.replace(F.expr("make_valid_utf8(cast(kept as string))"), F.lit("�"), F.lit(""))
-    text = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(rest)
+    out = suffix_dedup.remove_repeats(docs.withColumn("_null", F.col("text").isNull()), carry=("doc_id", "lang", "source", "_null"))
+    rest = F.expr("make_valid_utf8(cast(kept as string))")
+    text = F.when(~F.col("_null"), F.when(F.col("n_removed") == 0, rest).otherwise(F.replace(rest, F.lit("\ufffd"), F.lit(""))))
     return out.withColumn("text", text).withColumn("n_chars", F.coalesce(F.char_length("text"), F.lit(0)).cast("long")).select(*COLUMNS)
 
 
