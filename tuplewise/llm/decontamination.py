@@ -11,6 +11,7 @@ longest common subsequence with the item, and its answer, decide.
 from __future__ import annotations
 
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,9 +41,11 @@ class _Columns(dict):
     def __missing__(self, run):
         import xxhash
 
-        if len(self) >= 400_000:
+        if len(self) >= 600_000:
             self.clear()
-        word = _EDGES.sub("", run.lower())
+        word = run.lower().strip(string.punctuation)
+        if word and not (word[0].isalnum() and word[-1].isalnum()):
+            word = _EDGES.sub("", word)
         found = self[run] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS if word else WORDS
         return found
 
@@ -79,12 +82,26 @@ def _segments(batches):
 
 
 def _blocks(chunk, width: int):
-    """All columns of a chunk, the starts of its blocks of ``width`` words, and each block's place in the chunk."""
-    flat = np.concatenate([p for _, _, p in chunk])
+    """A chunk's words in rows of ``width`` columns, filled up with WORDS; each row's place in the chunk, and in its text."""
     n = np.array([-(-len(p) // width) for _, _, p in chunk])
-    base = np.cumsum([0] + [len(p) for _, _, p in chunk[:-1]])
-    number = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    return flat, np.repeat(base, n) + number * width, np.repeat(np.arange(len(chunk)), n), number
+    base = np.cumsum(n) - n
+    grid = np.full(n.sum() * width, WORDS, np.int64)
+    for at, (_, _, part) in zip((base * width).tolist(), chunk, strict=True):
+        grid[at : at + len(part)] = part
+    segment = np.repeat(np.arange(len(chunk)), n)
+    return grid.reshape(-1, width), segment, np.arange(len(segment)) - base[segment]
+
+
+def _once(grid: np.ndarray) -> np.ndarray:
+    """Rows of columns, each column once and the others WORDS."""
+    grid = np.sort(grid, axis=1)
+    grid[:, 1:][grid[:, 1:] == grid[:, :-1]] = WORDS
+    return grid
+
+
+def _summed_rows(table: np.ndarray, grid: np.ndarray) -> np.ndarray:
+    """The sum of a table's rows over each row of columns. The table's row WORDS is zero."""
+    return np.matmul(np.ones((1, grid.shape[1]), table.dtype), table.take(grid, axis=0))[:, 0]
 
 
 def _partition() -> int:
@@ -101,10 +118,10 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
         total = np.zeros(WORDS + 1, np.int64)
         for _, chunk in _segments(batches):
-            flat, starts, _, _ = _blocks(chunk, 2 * BLOCK)
-            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-            total[:WORDS] += np.bincount(np.unique(of * WORDS + flat) % WORDS, minlength=WORDS)
-            total[WORDS] += len(starts)
+            grid, _, _ = _blocks(chunk, 2 * BLOCK)
+            found = np.bincount(_once(grid).ravel(), minlength=WORDS + 1)
+            total[:WORDS] += found[:WORDS]
+            total[WORDS] += len(grid)
         yield pa.RecordBatch.from_arrays([pa.array([0]), pa.array([_partition()]), pa.array([total.tobytes()], pa.binary())], ["block", "part", "data"])
 
     got = summed(rows.mapInArrow(count, "block long, part long, data binary"), "<i8").collect()
@@ -114,51 +131,46 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 @dataclass
 class Space:
-    """idf per column, and the table that folds words in: column x RANK."""
+    """idf per column, and the table that folds words in: column x RANK. Both have a zero at WORDS."""
 
     idf: np.ndarray
     fold: np.ndarray
 
-    def vectors(self, flat: np.ndarray, starts: np.ndarray) -> np.ndarray:
-        return np.add.reduceat(self.fold[flat], starts, axis=0)
-
 
 def fit(rows: DataFrame, seed: int = 5) -> Space:
     """The latent space of all passages of ``rows`` (key, columns)."""
     df, n = _frequencies(rows)
-    idf = np.log((n + 1) / (df + 1)).astype(np.float32)
+    idf = np.append(np.log((n + 1) / (df + 1)), 0).astype(np.float32)
     sketch = np.linalg.qr(np.random.default_rng(seed).normal(size=(WORDS, RANK)))[0].astype(np.float32)
-    sent = rows.sparkSession.sparkContext.broadcast((idf, sketch * idf[:, None]))
+    sent = rows.sparkSession.sparkContext.broadcast((idf, np.vstack((sketch * idf[:-1, None], np.zeros((1, RANK), np.float32)))))
     pieces = 16
 
     def multiply(batches):
         import pyarrow as pa
 
         idf, scaled = sent.value
-        total = np.zeros((RANK, WORDS))
+        total = np.zeros((RANK, WORDS + 1))
         for _, chunk in _segments(batches):
-            flat, starts, _, _ = _blocks(chunk, 2 * BLOCK)
-            of = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(flat))))
-            square = np.maximum(np.add.reduceat(idf[flat] ** 2, starts), 1e-6)
-            y = np.add.reduceat(scaled[flat], starts, axis=0) / square[:, None]  # both factors of A'A have unit rows
-            order = np.argsort(flat, kind="stable")
-            column = flat[order]
-            first = np.flatnonzero(np.concatenate(([True], column[1:] != column[:-1])))
-            part = np.add.reduceat(y[of[order]], first, axis=0)
-            total[:, column[first]] += (part * idf[column[first]][:, None]).T
+            grid, _, _ = _blocks(chunk, 2 * BLOCK)
+            square = np.maximum((idf[grid] ** 2).sum(axis=1), 1e-6)  # both factors of A'A have unit rows
+            y = (_summed_rows(scaled, grid) / square[:, None]).T.astype(np.float64)
+            flat = grid.ravel()
+            for j in range(RANK):
+                total[j] += np.bincount(flat, np.repeat(y[j], grid.shape[1]), WORDS + 1)
+        total = total[:, :WORDS] * idf[:WORDS]
         for i, block in enumerate(np.array_split(total.astype(np.float32), pieces, axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_partition()]), pa.array([np.ascontiguousarray(block).tobytes()], pa.binary())], ["block", "part", "data"])
 
     got = sorted(summed(rows.mapInArrow(multiply, "block long, part long, data binary"), "<f4").collect(), key=lambda r: r.block)
     if n == 0 or not got:
-        return Space(idf, np.zeros((WORDS, RANK), np.float32))
+        return Space(idf, np.zeros((WORDS + 1, RANK), np.float32))
     z = np.concatenate([np.frombuffer(r["data"], "<f4").reshape(RANK, -1) for r in got], axis=1).T.astype(np.float64)
     shift = 1e-6 * max(np.linalg.norm(z), 1e-12)
     z += shift * sketch
     gram = sketch.T.astype(np.float64) @ z
     values, vectors = np.linalg.eigh((gram + gram.T) / 2)
     u, s, _ = np.linalg.svd(z @ (vectors / np.sqrt(np.maximum(values, shift * 1e-3))), full_matrices=False)
-    return Space(idf, (idf[:, None] * u / np.maximum(s, 1e-9)).astype(np.float32))
+    return Space(idf, np.vstack((idf[:-1, None] * u / np.maximum(s, 1e-9), np.zeros((1, RANK)))).astype(np.float32))
 
 
 @dataclass
@@ -196,23 +208,19 @@ def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = CO
 
         space, q = sent.value
         for batch, chunk in _segments(batches):
-            flat, starts, segment, number = _blocks(chunk, BLOCK)
-            v = space.vectors(flat, starts)
-            pair = np.flatnonzero(np.append(segment[1:] == segment[:-1], False))  # a block and the next one
-            alone = np.flatnonzero((number == 0) & np.append(segment[1:] != segment[:-1], True))
-            last = np.append(starts[1:], len(flat))
-            first = np.concatenate((pair, alone))
-            vectors = np.concatenate((v[pair] + v[pair + 1], v[alone]))
-            ends = np.concatenate((last[pair + 1], last[alone]))
+            grid, segment, number = _blocks(chunk, BLOCK)
+            v = _summed_rows(space.fold, grid)
+            follows = np.append(segment[1:] == segment[:-1], False)
+            first = np.flatnonzero(follows | (number == 0) & ~follows)  # a block and the next one, or a text's only block
+            second = np.where(follows[first], first + 1, first)
+            vectors = v[first] + np.where(follows[first][:, None], v[second], 0)
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             seen = {}
             for lo in range(0, len(vectors), 2048):
                 p, k = np.nonzero(vectors[lo : lo + 2048] @ q.vectors.T >= cosine)
                 if not len(p):
                     continue
-                at = starts[first[lo : lo + 2048]][:, None] + np.arange(2 * BLOCK)
-                own = np.sort(np.where(at < ends[lo : lo + 2048][:, None], flat[np.minimum(at, len(flat) - 1)], np.uint16(WORDS)), axis=1)
-                own[:, 1:][own[:, 1:] == own[:, :-1]] = WORDS  # each column once
+                own = _once(np.concatenate((grid[first[lo : lo + 2048]], grid[second[lo : lo + 2048]]), axis=1))
                 for part in range(0, len(p), 20_000):
                     pp, kk = p[part : part + 20_000], k[part : part + 20_000]
                     held = q.weights[kk[:, None], own[pp]].sum(axis=1) >= overlap
