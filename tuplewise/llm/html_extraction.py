@@ -61,9 +61,12 @@ class Page:
     blocks: list[tuple[int, str]] = field(default_factory=list)  # element that the block stands in, text
 
     def tokens(self) -> Counter:
-        found = Counter(e.key for e in self.elements)
+        import xxhash
+
+        digest, found = xxhash.xxh3_64_intdigest, Counter([e.key for e in self.elements])
         for at, text in self.blocks:
-            found.update(_hash(self.elements[at].key, w) for w in text.split())
+            key = self.elements[at].key
+            found.update([digest(w.encode("utf-8", "surrogatepass"), key) for w in text.split()])
         return found
 
 
@@ -197,9 +200,11 @@ def _token_sums(pages: DataFrame) -> DataFrame:
             for at, source in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = source.as_py()
                 page, key = parse(text), _hash(0, text or "")
-                elements = {e.key for e in page.elements}
+                elements, of_count = {e.key for e in page.elements}, {}
                 for token, n in page.tokens().items():
-                    h = _hash(key, str(n))
+                    h = of_count.get(n)
+                    if h is None:
+                        h = of_count[n] = _hash(key, str(n))
                     one = found.get((at, token))
                     if one is None:
                         found[at, token] = [token in elements, h >> 33, h & 0x7FFFFFFF, 1, n]
