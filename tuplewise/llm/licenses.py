@@ -60,11 +60,10 @@ COPYRIGHT = r"^\s*(copyright|\(c\)|©|all rights reserved)"
 def canonical(text: Column) -> Column:
     """The normalised form, with a space at either end; null stays null."""
     lines = F.filter(F.split(F.lower(text), "\n"), lambda x: ~x.rlike(COPYRIGHT))
-    return _spelt(F.concat(F.lit(" "), F.regexp_replace(F.array_join(lines, " "), r"[^\p{L}\p{N}]+", " "), F.lit(" ")))
+    return _spelt(F.concat(F.lit(" "), F.trim(F.regexp_replace(F.array_join(lines, " "), r"[^\p{L}\p{N}]+", " ")), F.lit(" ")))
 
 
 def _spelt(plain: Column) -> Column:
-    plain = F.regexp_replace(plain, " +", " ")
     said = plain
     for a, b in EQUIVALENT:
         said = F.replace(said, F.lit(f" {a} "), F.lit(f" {b} "))
@@ -102,7 +101,7 @@ def op6_license_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sql_canonical(text: str) -> str:
-    said = f"regexp_replace(' ' || regexp_replace(array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: not regexp_matches(x, '{COPYRIGHT}')), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') || ' ', ' +', ' ', 'g')"
+    said = f"' ' || trim(regexp_replace(array_to_string(list_filter(string_split(lower({text}), chr(10)), lambda x: not regexp_matches(x, '{COPYRIGHT}')), ' '), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')) || ' '"
     for a, b in EQUIVALENT:
         said = f"replace({said}, ' {a} ', ' {b} ')"
     return said
