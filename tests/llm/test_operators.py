@@ -84,6 +84,20 @@ def test_templates_group_tokens_by_occurrence(spark):
     assert all((html_extraction._hash(page.elements[at].key, w) in words) == (w not in ("0", "word0")) or w == "0" for at, t in page.blocks for w in t.split())
 
 
+def test_main_slot_holds_all_that_is_not_set_aside(spark):
+    def texts(pages):
+        df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        return {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+
+    p = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    few = ["<div><h1>T</h1><p>" + p(0, 70) + "</p><p>" + p(1, 30) + "</p></div>", "<main><h1>T</h1><article><p>" + p(2, 9) + "</p></article></main>"]
+    assert texts(few) == {0: f"T\n{p(0, 70)}\n{p(1, 30)}", 1: f"T\n{p(2, 9)}"}
+    lead = [f"<div class=top>Site of all</div><div id=c><div class=lead>{p(2 * i, 30)}</div><div class=text>{p(2 * i + 1, 70)}</div></div><footer>f</footer>" for i in range(6)]
+    assert texts(lead) == {i: f"{p(2 * i, 30)}\n{p(2 * i + 1, 70)}" for i in range(6)}
+    one = [f"<div id=c><h2>Always this</h2><p>{p(i, 70)}</p></div>" for i in range(6)]  # a single paragraph is no slot
+    assert texts(one) == {i: f"Always this\n{p(i, 70)}" for i in range(6)}
+
+
 # 2
 
 

@@ -6,8 +6,9 @@ Vectors are never built: two sums of a hash of (page, count) stand for them, so
 any sum and a host of any number of pages fits. Tokens of one host with equal vectors form an equivalence
 class. A class is valid if it is on enough of the host's pages and large enough; an element class may then
 hold another one's elements between its own, which nests the classes into the host's template. What stands
-between template tokens on a page is a slot. The main slot is the one with most text that the template does
-not explain, outside of the elements that HTML or their names set aside (menus, adverts, comments, ...).
+between template tokens on a page is a slot. The main slot is the smallest one with all the text that the
+template does not explain, outside of the elements that HTML or their names set aside (menus, adverts,
+comments, ...); an <article> or <main> with most of that text is taken at its word.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from ._common import materialise
 
 #: A class is valid with at least so many tokens, on at least this share of the host's pages, and so many pages.
 CLASS_TOKENS, PAGE_SHARE, CLASS_PAGES = 3, 0.5, 3
-#: A page's element is main if it holds at least this share of the text that the template does not explain.
+#: An <article> or <main> is the main slot if it holds at least this share of the text that the template does not explain.
 MAIN_SHARE = 0.6
 
 #: Element kinds of HTML.
@@ -36,6 +37,7 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "br", "cite", "code", "data", "del", "dfn", "em", "font", "i", "img", "ins", "kbd", "label", "mark", "q", "rp", "rt", "ruby", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "wbr"}
 ASIDE = {"head", "nav", "header", "footer", "aside", "form", "button", "menu", "dialog", "fieldset"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
+PARTS = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "li", "dt", "dd", "td", "th", "tr", "pre", "blockquote", "caption", "figcaption"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "form", "alert", "dialog"}
 NAMES = re.compile(
     r"(?:^|[\s_-])(?:ads?|adv|advert\w*|adbox|adslot|banner|promo\w*|sponsor\w*|side|sidebar|menu|nav|navbar|navigation|breadcrumbs?|masthead|header|foot|footer|cookies?|consent|gdpr|notice|alert|popup|modal|"
@@ -140,41 +142,35 @@ def parse(source: str | None) -> Page:
 def main_text(page: Page, template: set[int], words: set[int]) -> str:
     """The blocks of the main slot, in page order.
 
-    ``template``: keys of the elements of the host's template; ``words``: its words. Without a template, as
-    for hosts of few pages, all elements may be main. What the template's own words explain fully does not
+    ``template``: keys of the elements of the host's template; ``words``: its words. The main slot is the
+    outermost <article> or <main> that holds most of the text, and without one the smallest slot of the
+    template that holds all text that is not set aside. Without a template, as for hosts of few pages, all
+    elements that can hold several paragraphs bound slots. What the template's own words explain fully does not
     count as text when the main slot is chosen, but nothing within that slot is dropped.
     """
-    keep = [(at, text) for at, text in page.blocks if not page.elements[at].aside]
-    weight = [0 if words and all(_hash(page.elements[at].key, w) in words for w in text.split()) else len(text) for at, text in keep]
+    elements = page.elements
+    keep = [(at, text) for at, text in page.blocks if not elements[at].aside]
+    weight = [0 if words and all(_hash(elements[at].key, w) in words for w in text.split()) else len(text) for at, text in keep]
     if not any(weight):
         weight = [len(text) for _, text in keep]
-    within: Counter = Counter()
-    lines = []
+    within = [0] * len(elements)
     for (at, _), n in zip(keep, weight, strict=True):
-        line = []
-        while at >= 0:
-            line.append(at)
-            within[at] += n
-            at = page.elements[at].parent
-        lines.append(line)
-    total = sum(weight)
-    able = [i for i, n in within.items() if n >= MAIN_SHARE * total and (not template or page.elements[i].key in template or i == 0)]
-    if not able:
+        within[at] += n
+    for i in range(len(elements) - 1, 0, -1):  # elements are numbered in page order, so children follow parents
+        within[elements[i].parent] += within[i]
+    total = within[0]
+    if not total:
         return ""
-    main = max(able)  # elements are numbered in page order, so the last one that holds the share is the deepest
-    line = []
-    at = main
-    while at >= 0:
-        line.append(at)
-        at = page.elements[at].parent
-    article = [i for i in line if page.elements[i].tag in ("article", "main")]
-    if article:
-        main = article[0]
-    else:
-        while page.elements[main].parent >= 0 and all(
-            main in line or page.elements[at].tag in ("h1", "h2", "h3") for (at, _), line in zip(keep, lines, strict=True) if page.elements[main].parent in line):
-            main = page.elements[main].parent
-    return "\n".join(text for (_, text), line in zip(keep, lines, strict=True) if main in line)
+    main = next((i for i, e in enumerate(elements) if e.tag in ("article", "main") and within[i] >= MAIN_SHARE * total), 0)
+    if not main:
+        main = max(i for i, n in enumerate(within) if n == total)  # the deepest, by the numbering
+        while main and (elements[main].tag in PARTS or template and elements[main].key not in template):
+            main = elements[main].parent
+    inside = [False] * len(elements)
+    inside[main] = True
+    for i in range(main + 1, len(elements)):
+        inside[i] = inside[elements[i].parent]
+    return "\n".join(text for at, text in keep if inside[at])
 
 
 def host(url: str | None) -> str:
