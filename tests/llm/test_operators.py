@@ -98,6 +98,18 @@ def test_main_slot_holds_all_that_is_not_set_aside(spark):
     assert texts(one) == {i: f"Always this\n{p(i, 70)}" for i in range(6)}
 
 
+def test_names_and_template_text_in_the_main_slot(spark):
+    def texts(pages):
+        df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string")
+        return {r.page_id: r.text for r in html_extraction.extract(df).collect()}
+
+    p = lambda k, n: " ".join(f"w{k}x{j}" for j in range(n))
+    page = "<div class='container right-side'><h1>T{i}</h1><div class=menu>m{i}</div><p>{t}</p><div><p>Subscribe to our letter</div></div><div class=comments><p>nice {i}</div>"
+    assert texts([page.format(i=i, t=p(i, 50)) for i in range(6)]) == {i: f"T{i}\n{p(i, 50)}" for i in range(6)}
+    assert texts(["<div class=header>Site</div><div class='box side'><p>" + p(i, 50) + "</p></div>" for i in range(2)]) == {i: p(i, 50) for i in range(2)}
+    assert texts(["<div><p>" + p(0, 9) + "</p></div><div class=comments><p>" + p(1, 50) + "</p></div>"]) == {0: p(0, 9)}
+
+
 # 2
 
 

@@ -5,7 +5,8 @@ apart by the element they stand in. A token's occurrence vector holds its count
 Vectors are never built: two sums of a hash of (page, count) stand for them, so they are pre-aggregated like
 any sum and a host of any number of pages fits. Tokens of one host with equal vectors form an equivalence
 class. A class is valid if it is on enough of the host's pages and large enough; an element class may then
-hold another one's elements between its own, which nests the classes into the host's template. What stands
+hold another one's elements between its own. As tokens are told apart by their paths, a template's elements
+nest as paths do; the order of siblings is not checked. What stands
 between template tokens on a page is a slot. The main slot is the smallest one with all the text that the
 template does not explain, outside of the elements that HTML or their names set aside (menus, adverts,
 comments, ...); an <article> or <main> with most of that text is taken at its word.
@@ -54,7 +55,8 @@ class Element:
     tag: str
     key: int  # a hash of the path
     parent: int
-    aside: bool
+    aside: bool  # by its tag, role or state, or an ancestor's
+    named: bool = False  # its own class or id is in NAMES
 
 
 @dataclass
@@ -122,16 +124,16 @@ def parse(source: str | None) -> Page:
                     break
                 if t not in INLINE and t != "p":
                     break
-        names, aside = [], tag in ASIDE
+        names, aside, named = [], tag in ASIDE, False
         for kind, *values in _ATTR.findall(attrs):
             value, kind = next((v for v in values if v), ""), kind.lower()
             if kind in ("class", "id"):
                 names.append(value)
-                aside |= bool(NAMES.search(value)) and tag not in ("body", "html", "article", "main")
+                named |= bool(NAMES.search(value)) and tag not in ("body", "html", "article", "main")
             else:
                 aside |= kind == "hidden" and tag not in INLINE or value.lower() in ROLES
         parent = page.elements[stack[-1]]
-        page.elements.append(Element(tag, _hash(parent.key, tag + _DIGITS.sub("0", ".".join(sorted(names)))), stack[-1], parent.aside or aside))
+        page.elements.append(Element(tag, _hash(parent.key, tag + _DIGITS.sub("0", ".".join(sorted(names)))), stack[-1], parent.aside or aside, named))
         if tag not in VOID:
             stack.append(len(page.elements) - 1)
     pending.append(source[at:])
@@ -139,6 +141,45 @@ def parse(source: str | None) -> Page:
     return page
 
 
+def _upwards(page: Page, each: list[int]) -> list[int]:
+    """The sums of ``each`` over every element and all within it."""
+    out = list(each)
+    for i in range(len(out) - 1, 0, -1):  # elements are numbered in page order, so children follow parents
+        out[page.elements[i].parent] += out[i]
+    return out
+
+
+def _by_element(page: Page, blocks: list[tuple[int, str]], weight: list[int]) -> list[int]:
+    out = [0] * len(page.elements)
+    for (at, _), n in zip(blocks, weight, strict=True):
+        out[at] += n
+    return out
+
+
+def _set_aside(page: Page, blocks: list[tuple[int, str]], weight: list[int]) -> list[bool]:
+    """Whether each element is within one that HTML sets aside or whose name does.
+
+    A name does not count against an element with most of the unexplained text that holds every <h1>,
+    <article> and <main> of the page, or that is needed for there to be unexplained text and holds most of all.
+    """
+    elements = page.elements
+    out = [e.aside for e in elements]
+    if any(e.named for e in elements):
+        of, text = _upwards(page, _by_element(page, blocks, weight)), _upwards(page, _by_element(page, blocks, [len(t) for _, t in blocks]))
+        heads = _upwards(page, [int(e.tag in ("h1", "article", "main") and not e.aside) for e in elements])
+        within = [e.named for e in elements]
+        for i in range(1, len(elements)):
+            within[i] |= within[elements[i].parent]
+        needed = all(within[at] for (at, _), n in zip(blocks, weight, strict=True) if n)
+        for i, e in enumerate(elements):
+            if e.named:
+                whole = 0 < heads[i] == heads[0] or needed and text[i] >= MAIN_SHARE * text[0]
+                out[i] |= not (whole and of[i] >= MAIN_SHARE * of[0])
+    for i in range(1, len(elements)):
+        out[i] |= out[elements[i].parent]
+    return out
+
+
 def main_text(page: Page, template: set[int], words: set[int]) -> str:
     """The blocks of the main slot, in page order.
 
@@ -146,18 +187,17 @@ def main_text(page: Page, template: set[int], words: set[int]) -> str:
     outermost <article> or <main> that holds most of the text, and without one the smallest slot of the
     template that holds all text that is not set aside. Without a template, as for hosts of few pages, all
     elements that can hold several paragraphs bound slots. What the template's own words explain fully does not
-    count as text when the main slot is chosen, but nothing within that slot is dropped.
+    count as text when the main slot is chosen, and is left out where no other text stands beside it.
     """
     elements = page.elements
-    keep = [(at, text) for at, text in page.blocks if not elements[at].aside]
-    weight = [0 if words and all(_hash(elements[at].key, w) in words for w in text.split()) else len(text) for at, text in keep]
+    blocks = [(at, text) for at, text in page.blocks if not elements[at].aside]
+    weight = [0 if words and all(_hash(elements[at].key, w) in words for w in text.split()) else len(text) for at, text in blocks]
+    aside = _set_aside(page, blocks, weight if any(weight) else [len(text) for _, text in blocks])
+    keep = [(at, text) for at, text in blocks if not aside[at]]
+    weight = [n for (at, _), n in zip(blocks, weight, strict=True) if not aside[at]]
     if not any(weight):
         weight = [len(text) for _, text in keep]
-    within = [0] * len(elements)
-    for (at, _), n in zip(keep, weight, strict=True):
-        within[at] += n
-    for i in range(len(elements) - 1, 0, -1):  # elements are numbered in page order, so children follow parents
-        within[elements[i].parent] += within[i]
+    within = _upwards(page, _by_element(page, keep, weight))
     total = within[0]
     if not total:
         return ""
@@ -170,7 +210,14 @@ def main_text(page: Page, template: set[int], words: set[int]) -> str:
     inside[main] = True
     for i in range(main + 1, len(elements)):
         inside[i] = inside[elements[i].parent]
-    return "\n".join(text for at, text in keep if inside[at])
+
+    def holder(at: int) -> int:
+        while elements[at].tag in PARTS:
+            at = elements[at].parent
+        return at
+
+    told = {holder(at) for (at, _), n in zip(keep, weight, strict=True) if n}
+    return "\n".join(text for (at, text), n in zip(keep, weight, strict=True) if inside[at] and (n or holder(at) in told))
 
 
 def host(url: str | None) -> str:
