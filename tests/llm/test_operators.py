@@ -249,6 +249,28 @@ def test_decontamination(spark, none):
     assert decontamination.leaks(none, bench).count() == 0 and decontamination.leaks(df, bench.limit(0)).count() == 0
 
 
+def test_short_and_edited_items_are_candidates(spark):
+    r = random.Random(10)
+    vocabulary = [a + b for a in WORDS for b in WORDS]
+    common = r.choices(vocabulary, k=40)
+    word = lambda: r.choice(common) if r.random() < 0.5 else r.choice(vocabulary)
+    items = [[word() for _ in range(n)] for n in (1, 4, 5, 6, 8, 10, 15, 20, 40, 64, 65, 100) for _ in range(10)]
+    rows, planted = [], set()
+    for k, item in enumerate(items):
+        for share in (1, 0.8, 0.65):
+            kept = set(r.sample(range(len(item)), -(-len(item) * round(100 * share) // 100)))
+            said, t = [w if j in kept else "other" + r.choice(vocabulary) for j, w in enumerate(item)], [word() for _ in range(r.randint(0, 300))]
+            at = r.randint(0, len(t))
+            planted.add((len(rows), k))
+            rows.append((len(rows), " ".join([*t[:at], *said, *t[at:]])))
+    texts = [" ".join(x) for x in items]
+    df = spark.createDataFrame([(i, decontamination.columns(t).tobytes()) for i, t in rows], "id long, columns binary")
+    space = decontamination.fit(df)
+    assert planted <= {(x.id, x.item) for x in decontamination.candidates(df, space, decontamination.queries(texts, space)).collect()}
+    few = decontamination.leaks(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(k, t, t.split()[0]) for k, t in enumerate(texts)], "item_id long, text string, answer string"), answer_col="answer")
+    assert {(i, k) for i, k in planted if (i % 3 == 0)} <= {(x.doc_id, x.item_id) for x in few.collect()}
+
+
 # 6
 
 

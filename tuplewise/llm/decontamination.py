@@ -4,8 +4,10 @@ Words are hashed into ``WORDS`` columns and passages of ``2 * BLOCK`` words are
 One distributed pass multiplies A'A with a random orthonormal sketch; a Nystroem step on the small result
 gives A's leading singular vectors. Texts are folded in as words times vectors over singular values, so a
 passage's latent vector is a sum of table rows. Every passage of every document is compared with every
-benchmark passage by cosine; candidates must share enough of the item's weight, and are then read: the
-longest common subsequence with the item, and its answer, decide.
+benchmark passage by cosine; candidates must share enough of the item's weight. As a short or edited item is
+a small part of a passage, an exact filter on the rarest words of each item adds all other places that hold
+enough of its words close together. Candidates are then read: the longest common subsequence with the item,
+and its answer, decide.
 """
 
 from __future__ import annotations
@@ -175,19 +177,104 @@ def fit(rows: DataFrame, seed: int = 5) -> Space:
 
 @dataclass
 class Queries:
-    """Passages of benchmark items: latent vectors, weights by column as a share of the passage, item numbers."""
+    """Passages of benchmark items: latent vectors, weights by column as a share of the passage, item numbers.
+
+    ``rare`` is an exact filter over passages that cover all words of the items.
+    """
 
     vectors: np.ndarray
     weights: np.ndarray
     item: np.ndarray
+    rare: Rare
+
+
+@dataclass
+class Rare:
+    """An exact filter for parts of items: which text holds LCS_ANSWER of a part's words close together.
+
+    Of a part's ``need`` words, at least ``least`` are among its rarest ones, if the others are no more than
+    need - least. So a text that holds the part has ``least`` of the rarest words within ``reach`` words, and
+    ``need`` of all of its words around them.
+    """
+
+    item: np.ndarray
+    need: np.ndarray
+    least: np.ndarray
+    reach: np.ndarray
+    start: np.ndarray  # by column, of its entries in ``entries``; one more at the end
+    entries: np.ndarray  # parts that have the column among their rarest
+    words: list[np.ndarray]  # columns of each part
+
+    @staticmethod
+    def of(parts: list[np.ndarray], item: list[int], idf: np.ndarray) -> Rare:
+        n = np.array([len(p) for p in parts], np.int64)
+        need = -(-(n * round(100 * LCS_ANSWER)) // 100)
+        least = np.minimum(need, 1 + n // 8)
+        cols, of = [], []
+        for k, part in enumerate(parts):
+            own, times = np.unique(part, return_counts=True)
+            order = np.lexsort((own, -idf[own]))
+            after = len(part) - np.cumsum(times[order])  # words that are left when so many columns are taken
+            taken = own[order][: int(np.argmax(after <= need[k] - least[k])) + 1]
+            cols.append(taken)
+            of.append(np.full(len(taken), k))
+        cols, of = np.concatenate([np.zeros(0, np.int64), *cols]), np.concatenate([np.zeros(0, np.int64), *of])
+        order = np.argsort(cols, kind="stable")
+        start = np.concatenate(([0], np.cumsum(np.bincount(cols, minlength=WORDS + 1))))
+        return Rare(np.array(item, np.int64), need, least, n + n // 4 + BLOCK, start, of[order], [np.unique(p) for p in parts])
+
+    def places(self, texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(text, item, word): where texts may hold an item."""
+        none = np.zeros(0, np.int64)
+        if not len(self.item) or not texts:
+            return none, none, none
+        gap = 2 * int(self.reach.max()) + 1
+        base = gap + np.cumsum([0, *(len(t) + gap for t in texts)])
+        flat = np.full(base[-1], WORDS, np.int64)
+        for at, t in zip(base.tolist(), texts, strict=False):
+            flat[at : at + len(t)] = t
+        n = self.start[flat + 1] - self.start[flat]
+        where = np.flatnonzero(n)
+        n = n[where]
+        at = np.repeat(where, n)
+        part = self.entries[np.repeat(self.start[flat[where]] - np.cumsum(n) + n, n) + np.arange(len(at))]
+        order = np.argsort(part.astype(np.uint16) if len(self.item) < 1 << 16 else part, kind="stable")
+        at, part = at[order], part[order]
+        last = np.arange(len(at)) + self.least[part] - 1
+        near = np.minimum(last, len(at) - 1)
+        held = np.flatnonzero((last < len(at)) & (part[near] == part) & (at[near] - at < self.reach[part]))
+        at, part = at[held], part[held]
+        found = []
+        for k, lo, hi in zip(*_runs(part), strict=True):
+            own = np.zeros(WORDS + 1, bool)
+            own[self.words[k]] = True
+            reach = int(self.reach[k])
+            for x in range(lo, hi, 20_000):
+                here = at[x : min(hi, x + 20_000)]
+                enough = own[flat[here[:, None] + np.arange(-reach, reach)]].sum(axis=1) >= self.need[k]
+                found.append((here[enough], np.full(int(enough.sum()), self.item[k])))
+        if not found:
+            return none, none, none
+        at, item = (np.concatenate(x) for x in zip(*found, strict=True))
+        text = np.searchsorted(base, at, side="right") - 1
+        return text, item, at - base[text]
+
+
+def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
+    """Values, first and last place of the runs of equal values."""
+    lo = np.flatnonzero(np.append(True, x[1:] != x[:-1])) if len(x) else np.zeros(0, np.int64)
+    return x[lo].tolist(), lo.tolist(), [*lo[1:].tolist(), len(x)][: len(lo)]
 
 
 def queries(texts: list[str | None], space: Space) -> Queries:
     """Items of over three blocks are cut into passages of two blocks."""
-    vectors, weights, item = [], [], []
+    vectors, weights, item, whole, of = [], [], [], [], []
     for i, text in enumerate(texts):
         ids = columns(text).astype(np.int64)
         wide = 2 * BLOCK
+        cut = [ids] if len(ids) <= 2 * wide else np.array_split(ids, -(-len(ids) // wide))
+        whole += [p for p in cut if len(p)]
+        of += [i] * (len(whole) - len(of))
         parts = [ids] if len(ids) <= 3 * BLOCK else [p for p in (ids[at : at + wide] for at in range(0, len(ids), wide)) if len(p) >= BLOCK]
         for part in parts:
             if len(part):
@@ -195,19 +282,37 @@ def queries(texts: list[str | None], space: Space) -> Queries:
                 vectors.append(v / max(np.linalg.norm(v), 1e-12))
                 weights.append((w / max(w.sum(), 1e-12)).astype(np.float32))
                 item.append(i)
-    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), np.array(weights, np.float32).reshape(-1, WORDS + 1), np.array(item, np.int64))
+    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), np.array(weights, np.float32).reshape(-1, WORDS + 1), np.array(item, np.int64), Rare.of(whole, of, space.idf))
 
 
 def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
-    """(id, item, at): documents with a passage, from word ``at`` on, that is like an item's."""
+    """(id, item, at): documents with a passage, from word ``at`` on, that is like an item's or has its rare words."""
     sent = rows.sparkSession.sparkContext.broadcast((space, found))
     kind = rows.schema["id"].dataType.simpleString()
 
+    def rare(batch, filter_):
+        import pyarrow as pa
+
+        chunk, first, size = [], 0, 0
+        for i, data in enumerate(batch.column(1)):
+            chunk.append(np.frombuffer(data.as_buffer(), np.uint16))
+            size += len(chunk[-1])
+            if size >= SEGMENT or i == batch.num_rows - 1:
+                text, item, at = filter_.places(chunk)
+                if len(text):
+                    text, item, at = np.unique(np.stack((text + first, item, at // BLOCK * BLOCK)), axis=1)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(item), pa.array(at)], ["id", "item", "at"])
+                chunk, first, size = [], i + 1, 0
+
     def search(batches):
         import pyarrow as pa
 
         space, q = sent.value
+        done = None
         for batch, chunk in _segments(batches):
+            if batch is not done:
+                done = batch
+                yield from rare(batch, q.rare)
             grid, segment, number = _blocks(chunk, BLOCK)
             v = _summed_rows(space.fold, grid)
             follows = np.append(segment[1:] == segment[:-1], False)
