@@ -208,6 +208,18 @@ def test_quality(spark, docs, none):
     assert quality.fit(none.withColumn("quality", F.lit(1))).score("x") == 0.5 and quality.scored(none, model).count() == 0
 
 
+def test_quality_uses_all_features_of_long_texts(spark, monkeypatch):
+    long = [" ".join(f"{a}{i}" for i in range(4000)) for a in "uv"]
+    rows = [(i, long[i % 2], i % 2) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, quality int").repartition(3)
+    whole = quality.fit(df)
+    monkeypatch.setattr(quality, "HELD", 200_000)
+    for model in (whole, quality.fit(df)):
+        assert model.score(long[0]) < 0.3 and model.score(long[1]) > 0.7
+        ids = set(quality.features(long[0])[0]) ^ set(quality.features(long[1])[0])
+        assert len(ids) > 10_000 and np.mean(model.weights[list(ids)] != 0) > 0.99
+
+
 # 5
 
 

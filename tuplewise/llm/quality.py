@@ -9,19 +9,24 @@ term leave a sparse weight table; a score is the sparse dot product with it.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, held_out, mixed, sampled
+from ._common import WordHashes, documents, held_out, materialise, mixed, sampled
 
 BITS = 20
 #: At most so many labelled documents are used for training, the first in the order of a hash of their ids.
 SAMPLE = 8000
-#: At most so many distinct features of a training text, the first in the order of their hashes, are used.
-TRAIN_FEATURES = 4096
+#: The driver holds training rows of so many bytes at most. Beyond that it reads them again for each epoch.
+HELD = 128 << 20
+#: Executors send so many bytes of training rows at a time, or one row.
+SENT = 4 << 20
+#: Tasks that make the training rows.
+TASKS = 32
 _PAIR = np.uint64(0x9E3779B97F4A7C15)
 #: The feature of a word that follows itself.
 _AGAIN = np.uint64(0xC2B2AE3D27D4EB4F)
@@ -80,18 +85,16 @@ class Model:
         return float(1 / (1 + np.exp(-(self.weights[ids] @ value + self.bias))))
 
 
-def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1, seed: int = 4) -> Model:
-    """FTRL-proximal over (features, values, label), in a new random order each time."""
+def train(rows: Callable[[], Iterable[tuple[np.ndarray, np.ndarray, int]]], epochs: int = 4, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.1) -> Model:
+    """FTRL-proximal over (features, values, label), which ``rows`` gives once for each epoch, in a random order."""
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     zb = nb = bias = 0.0
 
     def weight(z, n):
         return np.where(np.abs(z) <= l1, 0, -(z - np.sign(z) * l1) / ((beta + np.sqrt(n)) / alpha + l2))
 
-    r = np.random.default_rng(seed)
     for _ in range(epochs):
-        for i in r.permutation(len(rows)):
-            ids, x, y = rows[i]
+        for ids, x, y in rows():
             w = weight(z[ids], n[ids])
             bias = -zb / ((beta + nb**0.5) / alpha + l2)
             p = 1 / (1 + np.exp(-(w @ x + bias)))
@@ -104,25 +107,58 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, int]], epochs: int = 4, alpha
     return Model(weight(z, n).astype(np.float32), float(bias))
 
 
-def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
+def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE, seed: int = 4) -> Model:
     """Trains on at most ``sample`` rows with a label: all, or the first by a hash of the id.
 
-    Features come from whole texts, on executors; the driver gets at most TRAIN_FEATURES of each sampled row.
-    Without labels, every score is 0.5.
+    All features of whole texts are used; they come from executors. The driver holds HELD bytes of rows: all, in
+    a new random order for each epoch, or else a part at a time of rows in the order of a hash of their ids, with
+    a new order within each part. Without labels, every score is 0.5.
     """
 
     def featurise(batches):
         import pyarrow as pa
 
+        def batch_of(rows):
+            at, ids, values, labels = zip(*rows, strict=True)
+            return pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(ids, pa.binary()), pa.array(values, pa.binary()), pa.array(labels, pa.int32())], ["at", "ids", "values", "label"])
+
+        rows, size = [], 0
         for batch in batches:
-            rows = [features(t.as_py()) for t in batch.column(0)]
-            cut = [(i, v) if len(i) <= TRAIN_FEATURES else (i[(pick := np.sort(np.argsort(mixed(i.astype(np.uint64)))[:TRAIN_FEATURES]))], v[pick]) for i, v in rows]
-            yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.uint32).tobytes() for i, _ in cut], pa.binary()), pa.array([v.tobytes() for _, v in cut], pa.binary()), batch.column(1)], ["ids", "values", "label"])
-
-    few = sampled(labelled, id_col, label_col, sample, 4)
-    got = few.select(text_col, F.col(label_col).cast("int")).mapInArrow(featurise, "ids binary, values binary, label int").toLocalIterator()
-    rows = [(np.frombuffer(x.ids, np.uint32), np.frombuffer(x["values"], np.float32), x.label) for x in got]
-    return train(rows)
+            for at, text, label in zip(*batch.columns, strict=True):
+                ids, value = features(text.as_py())
+                rows.append((at.as_py(), ids.astype(np.uint32).tobytes(), value.tobytes(), label.as_py()))
+                size += 8 * len(ids)
+                if size >= SENT:
+                    yield batch_of(rows)
+                    rows, size = [], 0
+        if rows:
+            yield batch_of(rows)
+
+    few = sampled(labelled, id_col, label_col, sample, 4).select(F.xxhash64(F.lit(seed), id_col).alias("at"), text_col, F.col(label_col).cast("int").alias("label"))
+    table = materialise(few.repartition(TASKS).mapInArrow(featurise, "at long, ids binary, values binary, label int"), "training")
+    size = table.agg(F.sum(F.octet_length("ids") + F.octet_length("values"))).first()[0] or 0
+    r = np.random.default_rng(seed)
+    if size > HELD:  # partitions stay far below what the driver may get at once
+        table = materialise(table.repartitionByRange(-(-4 * size // HELD), "at"), "training").sortWithinPartitions("at")
+
+    def parts():
+        part, held = [], 0
+        for x in table.toLocalIterator():
+            part.append((x.at, np.frombuffer(x.ids, np.uint32), np.frombuffer(x["values"], np.float32), x.label))
+            held += len(x.ids) + len(x["values"])
+            if size > HELD and held >= HELD // 4:
+                yield part
+                part, held = [], 0
+        yield part
+
+    def shuffled(part):
+        for i in r.permutation(len(part)):
+            yield part[i][1:]
+
+    if size > HELD:
+        return train(lambda: (x for part in parts() for x in shuffled(part)))
+    whole = sorted(next(parts()), key=lambda x: x[0])
+    return train(lambda: shuffled(whole))
 
 
 def scored(df: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
