@@ -409,6 +409,15 @@ def test_registers_estimate():
     assert abs(near_dedup.estimate(x[:1], x[1:])[0] - 0.5) < 0.16 and 0 < near_dedup.collision_rate() < 0.001
 
 
+@pytest.mark.parametrize("percent", [60, 80, 85, 95])
+def test_bands_bound_the_miss_at_the_bar(spark, percent):
+    df = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
+    n = near_dedup.bands(percent)
+    assert (1 - (percent / 100) ** near_dedup.ROWS) ** n < 1e-6 and near_dedup.bands(85) == 25
+    row = near_dedup._profiles(df, "doc_id", "text", 3, n).first()
+    assert len(row.registers) == 2 * n * near_dedup.ROWS
+
+
 # 10
 
 

@@ -1,6 +1,6 @@
 """Near duplicates by HyperMinHash.
 
-Every distinct shingle set gets registers: under each of ``BANDS * ROWS`` hash functions the set's minimum,
+Every distinct shingle set gets registers: under each of ``bands(percent) * ROWS`` hash functions the set's minimum,
 kept in 16 bits as its leading-zero count and the mantissa bits that follow. All registers hash all
 shingles, so that short sets fill each of them too. Bands of registers bucket the sets; the share of equal
 registers, corrected for chance collisions of the compressed values, estimates the Jaccard similarity of a
@@ -23,7 +23,9 @@ from pyspark.sql import functions as F
 from ._common import WordHashes, documents, materialise, mixed, summed
 from .graphs import components
 
-BANDS, ROWS = 25, 5
+ROWS = 5
+#: A pair at the bar shares no band with this probability at most.
+MISS = 5e-7
 MANTISSA_BITS = 10
 #: Needed nodes of which the ids may be broadcast: 1 million of 8 bytes.
 BROADCAST_IDS = 1_000_000
@@ -44,16 +46,20 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     return np.unique(total)
 
 
+def bands(percent: int) -> int:
+    """The number of bands for a bar of ``percent``: 25 at 85, 37 at 80."""
+    return max(1, int(np.ceil(np.log(MISS) / np.log1p(-min(percent / 100, 1 - 1e-9) ** ROWS))))
+
+
 @cache
-def _seeds() -> tuple[np.ndarray, np.ndarray]:
+def _seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
     r = np.random.default_rng(20)
-    m = BANDS * ROWS
     return r.integers(0, 2**64, m, np.uint64), r.integers(0, 2**64, m, np.uint64) | np.uint64(1)
 
 
-def registers(sets: list[np.ndarray]) -> np.ndarray:
+def registers(sets: list[np.ndarray], n_bands: int = 25) -> np.ndarray:
     """A row of 16-bit registers for each (non-empty) set."""
-    xor, mul = _seeds()
+    xor, mul = _seeds(n_bands * ROWS)
     least = np.empty((len(sets), len(xor)), np.uint64)
     i = 0
     while i < len(sets):
@@ -76,9 +82,9 @@ def registers(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def band_keys(r: np.ndarray) -> np.ndarray:
-    """A row of BANDS keys for each row of registers."""
-    x = r.reshape(len(r), BANDS, ROWS).astype(np.uint64)
-    total = np.broadcast_to(np.arange(BANDS, dtype=np.uint64), x.shape[:2])
+    """A row of keys, one for each band, for each row of registers."""
+    x = r.reshape(len(r), r.shape[1] // ROWS, ROWS).astype(np.uint64)
+    total = np.broadcast_to(np.arange(x.shape[1], dtype=np.uint64), x.shape[:2])
     for i in range(ROWS):
         total = mixed(total * _K[5] + x[:, :, i] + np.uint64(1))
     return total.view(np.int64)
@@ -108,7 +114,7 @@ def _fixed(column, dtype) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype).reshape(len(column), -1)
 
 
-def _profiles(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+def _profiles(df: DataFrame, id_col: str, text_col: str, words: int, n_bands: int) -> DataFrame:
     """id, n_shingles, set_key (128 bits of the set's hash), registers (null for an empty set)."""
     kind = df.schema[id_col].dataType.simpleString()
 
@@ -121,7 +127,7 @@ def _profiles(df: DataFrame, id_col: str, text_col: str, words: int) -> DataFram
                 part = batch.slice(at, 500)
                 sets = [shingles(t.as_py(), words) for t in part.column(1)]
                 full = [s for s in sets if len(s)]
-                rows = iter(registers(full)) if full else iter(())
+                rows = iter(registers(full, n_bands)) if full else iter(())
                 yield pa.RecordBatch.from_arrays([
                     part.column(0), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array([xxhash.xxh3_128_digest(s.tobytes()) for s in sets], pa.binary()),
@@ -139,21 +145,20 @@ def _keyed(nodes: DataFrame) -> DataFrame:
 
         for batch in batches:
             k = band_keys(_fixed(batch.column(1), np.uint16))
-            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), BANDS))], ["key", "c"])
+            yield pa.RecordBatch.from_arrays([pa.array(k.ravel()), pa.array(np.repeat(batch.column(0).to_numpy(), k.shape[1]))], ["key", "c"])
 
     return nodes.select("c", "registers").mapInArrow(keys, "key long, c long")
 
 
 def _hopeful(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
     """The pairs (a, b) of which the registers allow a similarity of ``least``, five standard errors away at most."""
-    bar = least - 5 * (least * (1 - least) / (BANDS * ROWS)) ** 0.5
-
     def check(batches):
         import pyarrow as pa
 
         for batch in batches:
             if len(batch):
-                keep = estimate(_fixed(batch.column(2), np.uint16), _fixed(batch.column(3), np.uint16)) >= bar
+                ra, rb = (_fixed(batch.column(i), np.uint16) for i in (2, 3))
+                keep = estimate(ra, rb) >= least - 5 * (least * (1 - least) / ra.shape[1]) ** 0.5
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
 
     regs = nodes.select("c", "registers")
@@ -273,7 +278,7 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     other; rows of one id and different texts are judged by their own texts. An empty table gives an empty
     table. Other columns are ignored.
     """
-    rows = materialise(_profiles(df, id_col, text_col, words), "profiles")
+    rows = materialise(_profiles(df, id_col, text_col, words, bands(percent)), "profiles")
     nodes = rows.where("n_shingles > 0").groupBy("set_key").agg(F.min(id_col).alias("class_id"), F.first("registers").alias("registers"))
     nodes = materialise(nodes.withColumn("c", F.monotonically_increasing_id()), "nodes")
 
