@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _written: list[tuple[SparkSession, str]] = []
+_sent: list = []
 
 
 def scratch_dir(spark: SparkSession) -> str:
@@ -24,18 +25,30 @@ def scratch_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
+def materialise(df: DataFrame, name: str, compression: str | None = None) -> DataFrame:
     """Writes ``df`` as Parquet to the shared folder and reads it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
+def shared(spark: SparkSession, value):
+    """A broadcast that ``clear`` destroys. ``value`` is of bounded size."""
+    found = spark.sparkContext.broadcast(value)
+    _sent.append(found)
+    return found
+
+
 @atexit.register
 def clear() -> None:
-    """Deletes the scratch tables of this process."""
+    """Deletes the scratch tables and destroys the broadcasts of this process: for when all results are written."""
+    while _sent:
+        try:
+            _sent.pop().destroy()
+        except Exception:  # the session is gone, and the broadcast with it
+            _sent.clear()
     while _written:
         spark, path = _written.pop()
         try:
@@ -70,8 +83,9 @@ def summed(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     """Sums equally long arrays of bytes.
 
     ``parts`` has block long, part long, data binary; part is the number of the task that made the row, and
-    ``data`` are numbers of ``dtype``. Adds ``fan_in`` parts at a time, so no task ever holds more than that
-    many arrays. Returns block, data.
+    ``data`` are numbers of ``dtype``. Adds ``fan_in`` parts at a time while the plan's tasks are more than that,
+    so a task never holds many arrays; a last step by block alone gives one row a block, whatever the numbers of
+    the parts. Returns block, data.
     """
     most = parts.rdd.getNumPartitions() - 1
 
@@ -87,12 +101,10 @@ def summed(parts: DataFrame, dtype: str, fan_in: int = 64) -> DataFrame:
     import pyarrow as pa
 
     schema = pa.schema([("block", pa.int64()), ("part", pa.int64()), ("data", pa.binary())])
-    while True:
+    while most >= fan_in:
         parts = parts.withColumn("part", F.floor(F.col("part") / fan_in)).groupBy("block", "part").applyInArrow(add, "block long, part long, data binary")
         most //= fan_in
-        if most == 0:
-            break
-    return parts.select("block", "data")
+    return parts.select("block", F.lit(0).cast("long").alias("part"), "data").groupBy("block", "part").applyInArrow(add, "block long, part long, data binary").select("block", "data")
 
 
 class WordHashes(dict):
