@@ -73,15 +73,88 @@ def test_html(spark):
     assert html_extraction.extract(df.limit(0)).count() == 0
 
 
-def test_templates_group_tokens_by_occurrence(spark):
-    rows = [(i, "http://h.org/", PAGE.format(m=0, i=i, t=f"word{i}")) for i in range(6)]
-    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", F.lit("h.org"))
-    found = html_extraction.templates(df).first()
-    page = html_extraction.parse(rows[0][2])
-    times = collections.Counter(e.key for e in page.elements)
-    assert {k for k, n in times.items() if n == 1} == {x % 2**64 for x in found.elements}  # two paragraphs alone make no class
-    words = {x % 2**64 for x in found.words}
-    assert all((html_extraction._hash(page.elements[at].key, w) in words) == (w not in ("0", "word0")) or w == "0" for at, t in page.blocks for w in t.split())
+def template_of(spark, pages):
+    df = spark.createDataFrame([(i, "http://h.org/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").withColumn("host", F.lit("h.org"))
+    table = html_extraction.parsed(df, "url", "html", ("page_id",))
+    x = html_extraction.templates(table, html_extraction.classes(table)).first()
+    return html_extraction.Template(x.n_pages, [(c["class"], c.order, c.repeats, c["keys"]) for c in x.classes or ()], set(x.known or ()), {r.k: (r.chars, r.links, r.varies) for r in x.slots}, {r.k: r.times for r in x.roles or ()})
+
+
+def test_classes_have_equal_occurrence_vectors_and_one_order(spark):
+    """Against brute force: vectors of counts on all pages, built in full."""
+    r = random.Random(5)
+    pages = []
+    for i in range(7):
+        rows = "".join(f"<li><a>{prose(r, 1)}</a></li>" for _ in range(r.randint(1, 4)))
+        swap = ["<i></i><section>s</section>", "<table></table>"]
+        pages.append(f"<div><ul>{rows}</ul><h1>{prose(r, 3)}</h1>{'<aside>x</aside>' if i < 3 else ''}" + "".join(f"<p>{prose(r, 5)}</p>" for _ in range(r.randint(1, 5))) + "".join(swap[:: 1 if i % 2 else -1]) + "<footer>Site of all</footer></div>")
+    t = template_of(spark, pages)
+    parsed = [html_extraction.parse(p) for p in pages]
+    every = {k for p in parsed for k in p.keys if k}
+    vectors = collections.defaultdict(set)
+    for k in every:
+        vectors[tuple(p.keys.count(k) for p in parsed)].add(k)
+    want = set()
+    for v, keys in vectors.items():
+        there = [x for x in v if x]
+        seen = collections.Counter(tuple(k for k in p.keys if k in keys) for p in parsed)
+        cut = lambda s: len(s) % len(keys) == 0 and len(set(s[: len(keys)])) == len(keys) and s == s[: len(keys)] * (len(s) // len(keys))
+        orders = collections.Counter()
+        for s, n in seen.items():
+            if s and cut(s):
+                orders[s[: len(keys)]] += n
+        if len(there) >= 3.5 and (2 * len(keys) >= 3 and (len(keys) > 1 or max(v) == 1)) and orders and max(orders.values()) >= 0.5 * len(there):
+            want.add(frozenset(keys))
+    assert {frozenset(keys) for _, _, _, keys in t.classes} == want and len(want) == 2  # the elements once on all pages, and <li><a>
+    p = parsed[0]
+    words = {w for at, text in zip(p.at, p.texts, strict=True) for w in html_extraction.text_tokens(p, at, text, True) if text in ("Site of all", "s")}
+    assert t.texts == words
+
+
+def test_template_order_bounds_slots():
+    H = html_extraction
+    page = H.parse("<div><h1>a</h1><section>b</section></div>")
+    keys = page.keys[1:]
+    ordered = H.Template(5, [(keys[0], H.orders(page, H.Template(5, [(keys[0], 0, False, keys)]))[keys[0]], False, keys)])
+    assert H.bounds(page, ordered) == [True] * 4
+    other = H.parse("<div><section>b</section><h1>a</h1></div>")
+    assert H.bounds(other, ordered) == [True, False, False, False]  # the class is not in its order here
+
+
+def test_attributes_with_quotes_and_malformed_ones():
+    H = html_extraction
+    text = lambda x: H.parse(x).texts
+    assert text("<article><p title=it's>Hello there</p><p>second don't</p></article>") == ["Hello there", "second don't"]
+    assert text("<p title='a > b' data-x=\"c > 'd'\">in</p><p title=\"open>out</p><b class = x' y>z</b>") == ["in", "out", "z"]
+    assert H.parse("<div class='a'id=b hidden>x</div>").flags[1] & H.HINTED
+
+
+NAMELESS = "<div><div>Site {m}</div><div><ul>{menu}</ul></div><div>{ad}</div><div><h1>{title}</h1>{body}</div><div>{records}</div><div>of {m} {ad}</div></div>"
+
+
+def test_without_names_the_template_decides(spark):
+    """Pages of one host without helpful tags or names; on three the article is shorter than what surrounds it."""
+    r = random.Random(21)
+    rows, want = [], {}
+    for i in range(12):
+        body = [prose(r, r.randint(20, 60)) for _ in range(r.randint(2, 6))] if i % 4 else [prose(r, 3)]
+        title = prose(r, 4)
+        menu = "".join(f"<li><a href=/{w}>{w}</a></li>" for w in r.sample(WORDS, r.randint(3, 6)))
+        records = "".join(f"<div><span>{w}</span><p>{prose(r, 7)}</p></div>" for w in r.sample(WORDS, r.randint(1, 3)))
+        rows.append((i, "http://h.org/", NAMELESS.format(m="h.org", menu=menu, ad=prose(r, 5), title=title, body="".join(f"<p>{x}</p>" for x in body), records=records)))
+        want[i] = "\n".join([title, *body])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_extraction.extract(df).collect()} == want
+    alone = {i: html_extraction.main_text(html_extraction.parse(h), html_extraction.Template()) for i, _, h in rows}
+    assert any(alone[i] != want[i] for i in alone)  # each page on its own does not tell
+
+
+def test_very_long_and_copied_pages(spark):
+    r = random.Random(22)
+    long = [prose(r, 3000) for _ in range(7)]
+    rows = [(0, "http://a.org/", "<div class=top>A</div><div>" + "".join(f"<p>{x}</p>" for x in long) + "</div>")] + [(k, "http://c.org/", f"<div class=menu>M</div><div><h1>T</h1><p>{long[0]}</p></div>") for k in (1, 2, 3)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {x.page_id: x.text for x in html_extraction.extract(df).collect()} == {0: "\n".join(long), **dict.fromkeys((1, 2, 3), "T\n" + long[0])}
 
 
 def test_main_slot_holds_all_that_is_not_set_aside(spark):
@@ -151,7 +224,6 @@ def test_packing(docs, none, awkward):
 
     path = tokenizer()
     whole = Tokenizer.from_file(path)
-    whole.encode_special_tokens = True
     want = collections.Counter()
     for i, t, *_ in awkward:
         ids = np.array(whole.encode(t or "", add_special_tokens=False).ids + [1], "<u4")
