@@ -2,12 +2,13 @@
 
 Every string of ``length`` bytes belongs to the least hash of the 16-byte grams within it, its anchor, so
 equal strings have equal anchors wherever they stand. Successive strings of one text with one anchor form a
-context. Contexts are grouped by anchor: an anchor seen once holds no repeat; equal contexts repeat in full;
-different contexts of one anchor go, in bounded blocks, to a suffix array. There, breadth-first backward
+context. A string has half of its other bytes on one side of the anchor at least, so a context whose sides of
+that length are seen once holds no repeat, and is left out. Equal contexts, by 192 bits of hashes, repeat in full;
+different contexts with an equal side go, in bounded blocks by anchor, to a suffix array. There, breadth-first backward
 extension on the Burrows-Wheeler transform finds the common prefixes of neighbouring suffixes by increasing
 value and stops at ``length``: neighbours that it has not told apart by then share that many bytes.
 
-An anchor with more than ``BLOCK_BYTES`` of different contexts would not fit a block. Its contexts are cut
+An anchor with more than ``BLOCK_BYTES`` of such contexts would not fit a block. Its contexts are cut
 into single strings, which are counted by a 128-bit hash: exact too, and free of large groups.
 """
 
@@ -30,9 +31,15 @@ _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19
 _POSITION = np.uint64((1 << 24) - 1)
 
 
-def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(anchor, first, count): the strings that start at first ... first + count - 1 share an anchor."""
+def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
+    """(anchor, first, count, left, right): the strings that start at first ... first + count - 1 share an anchor.
+
+    Each of these strings has half of its other bytes, or more, on one side of the anchor. ``left`` hashes the
+    anchor with so many bytes before it and ``right`` with so many after it, and is 0 where no string has them.
+    """
     found = []
+    half = (length - GRAM + 1) // 2
+    steps = [*range(0, half, GRAM), half]  # of grams that cover an anchor and half
     for lo in range(0, len(data) - length + 1, CHUNK):
         x, step = data[lo : lo + CHUNK + length - 1].astype(np.uint64), 1
         for k in _K:
@@ -49,8 +56,15 @@ def contexts(data: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, np.nda
         n = len(order) - wide + 1
         at = (np.minimum(behind[:n], ahead[wide - 1 : wide - 1 + n]) & _POSITION).astype(np.int64)
         first = np.concatenate(([0], np.flatnonzero(at[1:] != at[:-1]) + 1))
-        found.append((gram[at[first]].view(np.int64), first + lo, np.diff(np.append(first, n))))
-    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 3
+        count, at = np.diff(np.append(first, n)), at[first]
+        sides = []
+        for way, there in ((-1, at - first >= half), (1, first + count - 1 + length - at - GRAM >= half)):
+            key, place = np.full(len(at), _K[1 + way]), np.where(there, at, 0)
+            for d in steps:
+                key = mixed(key * _K[3] + x[np.where(there, place + way * d, 0)])
+            sides.append(np.where(there, key | np.uint64(1), np.uint64(0)).view(np.int64))
+        found.append((gram[at].view(np.int64), first + lo, count, *sides))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 5
 
 
 def suffix_order(text: np.ndarray, depth: int) -> np.ndarray:
@@ -126,107 +140,136 @@ def _spans(mask: np.ndarray) -> bytes:
     return edge.astype("<i4").tobytes()
 
 
-def _occurrences(keyed: DataFrame, length: int) -> DataFrame:
-    """Every context of every text: text key t1, t2; anchor; context digest c; first; count; serial number."""
+def _read(batch, length: int):
+    """(row, bytes, contexts) of every text of the second column that is long enough."""
+    for i, text in enumerate(batch.column(1)):
+        data = text.as_buffer() if text.is_valid else b""
+        if len(data) >= length:
+            view = memoryview(data)
+            yield i, view, contexts(np.frombuffer(view, np.uint8), length)
+
+
+def _sides(keyed: DataFrame, length: int) -> DataFrame:
+    """(key, t, first): the sides of every context of every text t."""
 
     def scan(batches):
         import pyarrow as pa
-        import xxhash
-        from pyspark import TaskContext
-
-        names = ["t1", "t2", "anchor", "c", "first", "count", "serial"]
-        serial = TaskContext.get().partitionId() << 40
 
         def flush(rows):
-            nonlocal serial
-            n = sum(len(r[2]) for r in rows)
-            t1, t2 = (np.repeat([r[i] for r in rows], [len(r[2]) for r in rows]) for i in (0, 1))
-            digest = np.concatenate([r[5] for r in rows]).view(np.int64)
-            anchor, first, count = (np.concatenate([r[i] for r in rows]) for i in (2, 3, 4))
-            serial += n
-            return pa.RecordBatch.from_arrays([*map(pa.array, (t1, t2, anchor, digest, first, count, np.arange(serial - n, serial)))], names)
+            t, key, first = (np.concatenate(x) for x in zip(*rows, strict=True))
+            return pa.RecordBatch.from_arrays([pa.array(key), pa.array(t), pa.array(first.astype(np.int32))], ["key", "t", "first"])
 
+        rows, size = [], 0
         for batch in batches:
-            rows, size = [], 0
-            for t1, t2, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                data = text.as_buffer() if text.is_valid else b""
-                if len(data) < length:
-                    continue
-                view = memoryview(data)
-                anchor, first, count = contexts(np.frombuffer(view, np.uint8), length)
-                ends = (first + count + length - 1).tolist()
-                rows.append((t1, t2, anchor, first, count, np.array([xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(first.tolist(), ends, strict=True)], np.uint64)))
-                size += len(first)
-                if size >= 50_000:
+            texts = batch.column(0).to_numpy()
+            for i, _, (_, first, _, left, right) in _read(batch, length):
+                key, first = np.concatenate((left, right)), np.concatenate((first, first))
+                key, first = key[key != 0], first[key != 0]
+                rows.append((np.full(len(key), texts[i]), key, first))
+                size += len(key)
+                if size >= 100_000:
                     yield flush(rows)
                     rows, size = [], 0
-            if rows:
-                yield flush(rows)
+        if rows:
+            yield flush(rows)
 
-    return keyed.select("t1", "t2", "text").mapInArrow(scan, "t1 long, t2 long, anchor long, c long, first long, count long, serial long")
+    return keyed.select("t", "text").mapInArrow(scan, "key long, t long, first int")
 
 
-def _cut(texts: DataFrame, length: int) -> DataFrame:
-    """(anchor, c, data) from rows of a text and its wanted contexts."""
+def _occurrences(texts: DataFrame, length: int, data: bool) -> DataFrame:
+    """The contexts of texts (t, text, wanted, u) that start at ``wanted``: text t, u; anchor; digest c1, c2; first; count; then sides, or the bytes."""
+    last = "data binary" if data else "left long, right long"
 
-    def cut(batches):
+    def scan(batches):
         import pyarrow as pa
+        import xxhash
+
+        names = ["t", "u", "anchor", "c1", "c2", "first", "count", *(["data"] if data else ["left", "right"])]
+
+        def flush(rows):
+            kinds = [*[pa.int64()] * 7, *([pa.binary()] if data else [pa.int64()] * 2)]
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
 
+        rows, size = [], 0
         for batch in batches:
-            rows = []
-            for text, wanted in zip(batch.column(0), batch.column(1), strict=True):
-                view = memoryview(text.as_buffer())
-                rows += [(w["anchor"], w["c"], bytes(view[w["first"] : w["first"] + w["count"] + length - 1])) for w in wanted.as_py()]
-            for at in range(0, len(rows), 20_000):
-                yield pa.RecordBatch.from_arrays([*map(pa.array, zip(*rows[at : at + 20_000], strict=True))], ["anchor", "c", "data"])
+            t, u, wanted = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(2)
+            for i, view, found in _read(batch, length):
+                at = np.flatnonzero(np.isin(found[1], wanted[i].values.to_numpy()))  # another text with this t may lack some
+                for a, f, n, left, right in zip(*(x[at].tolist() for x in found), strict=True):
+                    part = view[f : f + n + length - 1]
+                    c = xxhash.xxh3_128_digest(part)
+                    rows.append((t[i], u[i], a, int.from_bytes(c[:8], "little", signed=True), int.from_bytes(c[8:], "little", signed=True), f, n, *((bytes(part),) if data else (left, right))))
+                    size += len(part) if data else 1
+                if size >= (4_000_000 if data else 50_000):
+                    yield flush(rows)
+                    rows, size = [], 0
+        if rows:
+            yield flush(rows)
+
+    return texts.select("t", "text", "wanted", "u").mapInArrow(scan, "t long, u long, anchor long, c1 long, c2 long, first long, count long, " + last)
 
-    return texts.mapInArrow(cut, "anchor long, c long, data binary")
+
+#: A kind of context: equal bytes with the same anchor.
+KIND = ("anchor", "c1", "c2")
 
 
 def _walk(data: DataFrame, n_blocks: int, length: int) -> DataFrame:
-    """(anchor, c, spans) of contexts, block by block."""
+    """KIND and spans of contexts, block by block."""
 
     def block(key, table):
         import pyarrow as pa
 
         pieces = [x.as_py() for x in table.column("data")]
         spans = [_spans(m) for m in repeated(pieces, length)]
-        return table.select(["anchor", "c"]).append_column("spans", pa.array(spans, pa.binary()))
+        return table.select([*KIND]).append_column("spans", pa.array(spans, pa.binary()))
 
-    return data.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block").applyInArrow(block, "anchor long, c long, spans binary")
+    return data.withColumn("block", F.pmod(F.xxhash64("anchor"), F.lit(n_blocks))).groupBy("block").applyInArrow(block, "anchor long, c1 long, c2 long, spans binary")
 
 
 def _counted(data: DataFrame, length: int) -> DataFrame:
-    """(anchor, c, spans) of contexts, by counting single strings."""
+    """KIND and spans of contexts, by counting single strings."""
 
     def strings(batches):
         import pyarrow as pa
         import xxhash
 
         for batch in batches:
-            for i, d in enumerate(batch.column(2)):
+            for i, d in enumerate(batch.column(3)):
                 view = memoryview(d.as_buffer())
                 n = len(view) - length + 1
                 h = np.frombuffer(b"".join([xxhash.xxh3_128_digest(view[j : j + length]) for j in range(n)]), np.int64).reshape(-1, 2)
-                same = [pa.array(np.full(n, batch.column(k)[i].as_py())) for k in range(2)]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(h[:, 0]), pa.array(h[:, 1])], ["anchor", "c", "at", "h1", "h2"])
+                same = [pa.array(np.full(n, batch.column(k)[i].as_py())) for k in range(3)]
+                yield pa.RecordBatch.from_arrays([*same, pa.array(np.arange(n)), pa.array(h[:, 0]), pa.array(h[:, 1])], [*KIND, "at", "h1", "h2"])
 
-    each = data.select("anchor", "c", "data").mapInArrow(strings, "anchor long, c long, at long, h1 long, h2 long")
+    each = data.select(*KIND, "data").mapInArrow(strings, "anchor long, c1 long, c2 long, at long, h1 long, h2 long")
     twice = each.groupBy("h1", "h2").count().where("count > 1").select("h1", "h2")
-    hit = each.join(twice, ["h1", "h2"], "left_semi").groupBy("anchor", "c").agg(F.array_sort(F.collect_set("at")).alias("at"))
+    hit = each.join(twice, ["h1", "h2"], "left_semi").groupBy(*KIND).agg(F.array_sort(F.collect_set("at")).alias("at"))
 
     def join_up(batches):
         import pyarrow as pa
 
         for batch in batches:
             spans = []
-            for at in batch.column(2):
+            for at in batch.column(3):
                 mask = np.zeros(length, bool)
                 mask[at.values.to_numpy()] = True
                 spans.append(_spans(mask))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(spans, pa.binary())], ["anchor", "c", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.binary())], [*KIND, "spans"])
+
+    return hit.mapInArrow(join_up, "anchor long, c1 long, c2 long, spans binary")
 
-    return hit.mapInArrow(join_up, "anchor long, c long, spans binary")
+
+def _repeated_keys(keys: DataFrame) -> DataFrame:
+    """The values of ``key`` that are there more than once; to be broadcast if they are few."""
+    found = materialise(keys.groupBy("key").count().where("count > 1").select("key"), "repeated-keys")
+    return F.broadcast(found) if found.count() <= BROADCAST_KEYS else found
+
+
+def _with_wanted(keyed: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The texts (t, text, wanted, u) with wanted contexts."""
+    if wanted.count() <= BROADCAST_KEYS:
+        keyed = keyed.join(F.broadcast(wanted.select("t")), "t", "left_semi")
+    return keyed.join(wanted, "t").select("t", "text", "wanted", "u")
 
 
 def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -237,31 +280,32 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
     null or empty text has no bytes; rows of equal ids or texts are each judged by their own text, so copies
     of a text of ``length`` bytes or more lose all. An empty table gives an empty table.
     """
-    key = [F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2")]
-    keyed = df.select(F.col(text_col).alias("text")).select(*key, "text")
-    seen = materialise(_occurrences(keyed, length), "contexts")
-    context = ["anchor", "c"]
-    kinds = seen.groupBy(*context).agg(F.count("*").alias("n"), F.min("serial").alias("serial"), F.first("count").alias("count"))
-    kinds = materialise(kinds.join(kinds.groupBy("anchor").agg(F.count("*").alias("kinds"), F.sum("n").alias("total"), F.sum(F.col("count") + length).alias("size")).where("total > 1"), "anchor"), "kinds")
-
-    open_ = kinds.where("kinds > 1")
-    wanted = seen.join(open_.select("serial"), "serial", "left_semi")
-    wanted = materialise(wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct(*context, "first", "count")).alias("wanted")), "wanted")
-    source = keyed
-    if wanted.count() <= BROADCAST_KEYS:
-        source = source.join(F.broadcast(wanted.select("t1", "t2")), ["t1", "t2"], "left_semi")
-    data = _cut(source.join(wanted, ["t1", "t2"]).select("text", "wanted"), length)
-    data = materialise(data.dropDuplicates(context), "context-bytes")
-    large = open_.where(F.col("size") > BLOCK_BYTES).select("anchor").distinct()
+    key = {"t": F.xxhash64("text"), "u": F.xxhash64(F.lit(1), "text")}
+    keyed = df.select(F.col(text_col).alias("text")).withColumns(key)
+    sides = materialise(_sides(keyed, length), "sides")
+    hits = sides.join(_repeated_keys(sides), "key", "left_semi").groupBy("t").agg(F.collect_set("first").alias("wanted"))
+    seen = materialise(_occurrences(_with_wanted(keyed, materialise(hits, "wanted")), length, data=False), "contexts")
+
+    kinds = seen.groupBy(*KIND).agg(F.count("*").alias("n"), F.min(F.struct("t", "first")).alias("one"), F.first("count").alias("count"), F.first("left").alias("left"), F.first("right").alias("right"))
+    kinds = materialise(kinds, "kinds")
+    # Of different kinds with equal sides, one context each goes to the walk.
+    ends = kinds.select(*KIND, "one", "count", F.explode(F.array("left", "right")).alias("key")).where("key <> 0")
+    ends = ends.join(_repeated_keys(ends), "key", "left_semi").select(*KIND, "one", "count").distinct()
+    ends = materialise(ends, "walked")
+    wanted = materialise(ends.groupBy(F.col("one.t").alias("t")).agg(F.collect_set(F.col("one.first").cast("int")).alias("wanted")), "walked-texts")
+    data = _occurrences(_with_wanted(keyed, wanted), length, data=True).select(*KIND, "data")
+    data = materialise(data.join(ends.select(*KIND), [*KIND], "left_semi").dropDuplicates([*KIND]), "context-bytes")
+    large = ends.groupBy("anchor").agg(F.sum(F.col("count") + length).alias("size")).where(F.col("size") > BLOCK_BYTES).select("anchor")
+    large = materialise(large, "crowded-anchors")
     total = data.agg(F.sum(F.length("data"))).first()[0] or 0
     spans = _walk(data.join(large, "anchor", "left_anti"), max(1, -(-total // BLOCK_BYTES)), length)
     if not large.isEmpty():
         spans = spans.union(_counted(data.join(large, "anchor", "left_semi"), length))
     spans = materialise(spans, "spans")
 
-    whole = kinds.where("n > 1").select(*context, F.lit(None).cast("binary").alias("spans"))
-    partly = spans.join(kinds.where("n > 1"), context, "left_anti").where(F.length("spans") > 0).select(*context, "spans")
-    marked = seen.join(whole.union(partly), context).groupBy("t1", "t2").agg(F.collect_set(F.struct("first", "count", "spans")).alias("marks"))
+    whole = kinds.where("n > 1").select(*KIND, F.lit(None).cast("binary").alias("spans"))
+    partly = spans.where(F.length("spans") > 0).join(kinds.where("n = 1").select(*KIND), [*KIND], "left_semi").select(*KIND, "spans")
+    marked = seen.join(whole.union(partly), [*KIND]).groupBy("t", "u").agg(F.collect_set(F.struct("first", "count", "spans")).alias("marks"))
 
     fields = [df.schema[c] for c in carry]
     schema = T.StructType([*fields, T.StructField("n_bytes", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("n_spans", T.LongType()), T.StructField("kept", T.BinaryType())])
@@ -284,7 +328,7 @@ def remove_repeats(df: DataFrame, length: int = LENGTH, text_col: str = "text",
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *more], [*carry, "n_bytes", "n_removed", "n_spans", "kept"])
 
     inner = [F.col(c).alias(f"_{i}") for i, c in enumerate(carry)]
-    texts = df.select(*inner, F.col(text_col).alias("text")).withColumns({"t1": key[0], "t2": key[1]}).join(marked, ["t1", "t2"], "left")
+    texts = df.select(*inner, F.col(text_col).alias("text")).withColumns(key).join(marked, ["t", "u"], "left")
     return texts.select(*[f"_{i}" for i in range(len(carry))], "text", "marks").mapInArrow(remove, schema)
 
 
