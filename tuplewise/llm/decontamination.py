@@ -6,21 +6,21 @@ gives A's leading singular vectors. Texts are folded in as words times vectors o
 passage's latent vector is a sum of table rows. Every passage of every document is compared with every
 benchmark passage by cosine; candidates must share enough of the item's weight. As a short or edited item is
 a small part of a passage, an exact filter on the rarest words of each item adds all other places that hold
-enough of its words close together. Candidates are then read: the longest common subsequence with the item,
-and its answer, decide.
+enough of its words close together. Of both kinds, places without enough of the item's columns in order go.
+Candidates are then read: the longest common subsequence with the item, and its answer, decide.
 """
 
 from __future__ import annotations
 
 import re
-import string
 from dataclasses import dataclass
+from functools import cache
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import documents, materialise, summed
+from ._common import documents, materialise, mixed, shared, summed
 
 WORDS = 1 << 14
 RANK = 64
@@ -29,36 +29,103 @@ BLOCK = 16
 COSINE, OVERLAP = 0.3, 0.3
 #: An item leaks with this share of its words in order, or with the lower one if its answer is there too.
 LCS, LCS_ANSWER = 0.8, 0.65
-#: Items are taken in blocks of so many.
-ITEMS = 2000
+#: Items are read in blocks of so many characters, or one item, each with a pass over the documents' columns.
+ITEM_CHARS = 32 << 20
 #: Candidate documents of which the ids may be broadcast: 1 million of 8 bytes.
 BROADCAST_IDS = 1_000_000
 SEGMENT = BLOCK * 4096
 _EDGES = re.compile(r"^[\W_]+|[\W_]+$")
 
 
-class _Columns(dict):
-    """Maps a run of non-space characters to its word's column; WORDS for a run without a word."""
+#: Bytes that are hashed at a time.
+PIECE = 1 << 17
+_ODD = re.compile(r"[^\w\x00-\x7f]")
+_SPACE = re.compile(r"\s")
+#: Of each byte: 0 white space, 1 an edge of words, 2 a part of words.
+_KIND = np.array([0 if chr(b).isspace() and b < 128 else 2 if b >= 128 or chr(b).isalnum() else 1 for b in range(256)], np.uint8)
+
+
+@cache
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """Powers of an odd factor and of its inverse modulo 2**64."""
+    factor = 0x9E3779B97F4A7C15
+    inverse = pow(factor, -1, 1 << 64)
+    return tuple(np.multiply.accumulate(np.full(PIECE + 1, x, np.uint64)) * np.uint64(pow(x, -1, 1 << 64)) for x in (factor, inverse))
+
+
+def _hashed_words(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, column) of the words of up to PIECE bytes."""
+    kind = _KIND[data]
+    at = np.flatnonzero(kind == 2)
+    if not len(at):
+        return at, np.zeros(0, np.uint16)
+    run = np.cumsum(kind == 0, dtype=np.int32)[at]
+    cut = np.flatnonzero(run[1:] != run[:-1])
+    start, end = at[np.append(0, cut + 1)], at[np.append(cut, len(at) - 1)]
+    power, inverse = _powers()
+    sums = np.cumsum(data * power[: len(data)])
+    value = (sums[end] - np.where(start > 0, sums[start - 1], 0)) * inverse[start]
+    return start, (mixed(value) >> np.uint64(50)).astype(np.uint16)
+
+
+def _pieces(text: str | None):
+    """The bytes of a text in lower case, cut at white space into pieces of up to about PIECE / 2 characters."""
+    low = (text or "").lower()
+    if not low.isascii():  # other white space and punctuation become ASCII's
+        low = _ODD.sub(lambda m: " " if m[0].isspace() else "'", low)
+    at = 0
+    while len(low) - at > PIECE // 4:
+        m = _SPACE.search(low, at + PIECE // 8)
+        if m is None:
+            break
+        yield low[at : m.start()].encode("utf-8", "surrogatepass")
+        at = m.start()
+    yield low[at:].encode("utf-8", "surrogatepass")
+
+
+def hashed(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """The columns of all words of ``texts``, and where each text's begin, with their number at the end."""
+    found, counts = [], np.zeros(len(texts) + 1, np.int64)
+    held: list[tuple[int, bytes]] = []
+    size = 0
+
+    def flush():
+        nonlocal size
+        data = b" ".join(x for _, x in held)
+        ends = np.cumsum([len(x) + 1 for _, x in held])
+        start, column = _hashed_words(np.frombuffer(data, np.uint8))
+        found.append(column)
+        which = np.array([i for i, _ in held])[np.searchsorted(ends, start, side="right")]
+        np.add.at(counts, which + 1, 1)
+        held.clear()
+        size = 0
 
-    def __missing__(self, run):
-        import xxhash
+    for i, text in enumerate(texts):
+        for whole in _pieces(text):
+            for piece in [whole] if len(whole) < PIECE else whole.split():
+                if size + len(piece) >= PIECE and held:
+                    flush()
+                if len(piece) < PIECE:
+                    held.append((i, piece))
+                    size += len(piece) + 1
+                elif (column := _long(piece)) is not None:
+                    found.append(np.array([column], np.uint16))
+                    counts[i + 1] += 1
+    if held:
+        flush()
+    return np.concatenate([np.zeros(0, np.uint16), *found]), np.cumsum(counts)
 
-        if len(self) >= 600_000:
-            self.clear()
-        word = run.lower().strip(string.punctuation)
-        if word and not (word[0].isalnum() and word[-1].isalnum()):
-            word = _EDGES.sub("", word)
-        found = self[run] = xxhash.xxh3_64_intdigest(word.encode("utf-8", "surrogatepass")) % WORDS if word else WORDS
-        return found
 
+def _long(run: bytes) -> int | None:
+    """The column of a word that no piece holds."""
+    import xxhash
 
-_columns: dict[str, _Columns] = {}
+    at = np.flatnonzero(_KIND[np.frombuffer(run, np.uint8)] == 2)
+    return xxhash.xxh3_64_intdigest(run[at[0] : at[-1] + 1]) % WORDS if len(at) else None
 
 
 def columns(text: str | None) -> np.ndarray:
-    runs = (text or "").split()
-    found = np.fromiter(map(_columns.setdefault("", _Columns()).__getitem__, runs), np.uint16, len(runs))
-    return found[found < WORDS]
+    return hashed([text])[0]
 
 
 def words(text: str | None) -> list[str]:
@@ -144,7 +211,7 @@ def fit(rows: DataFrame, seed: int = 5) -> Space:
     df, n = _frequencies(rows)
     idf = np.append(np.log((n + 1) / (df + 1)), 0).astype(np.float32)
     sketch = np.linalg.qr(np.random.default_rng(seed).normal(size=(WORDS, RANK)))[0].astype(np.float32)
-    sent = rows.sparkSession.sparkContext.broadcast((idf, np.vstack((sketch * idf[:-1, None], np.zeros((1, RANK), np.float32)))))
+    sent = shared(rows.sparkSession, (idf, np.vstack((sketch * idf[:-1, None], np.zeros((1, RANK), np.float32)))))
     pieces = 16
 
     def multiply(batches):
@@ -155,10 +222,12 @@ def fit(rows: DataFrame, seed: int = 5) -> Space:
         for _, chunk in _segments(batches):
             grid, _, _ = _blocks(chunk, 2 * BLOCK)
             square = np.maximum((idf[grid] ** 2).sum(axis=1), 1e-6)  # both factors of A'A have unit rows
-            y = (_summed_rows(scaled, grid) / square[:, None]).T.astype(np.float64)
-            flat = grid.ravel()
-            for j in range(RANK):
-                total[j] += np.bincount(flat, np.repeat(y[j], grid.shape[1]), WORDS + 1)
+            y = np.ascontiguousarray((_summed_rows(scaled, grid) / square[:, None]).T)
+            flat = grid.ravel().astype(np.uint16)
+            order = np.argsort(flat, kind="stable")
+            column = flat[order]
+            first = np.flatnonzero(np.append(True, column[1:] != column[:-1]))
+            total[:, column[first]] += np.add.reduceat(y.take(order // grid.shape[1], axis=1), first, axis=1)
         total = total[:, :WORDS] * idf[:WORDS]
         for i, block in enumerate(np.array_split(total.astype(np.float32), pieces, axis=1)):
             yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([_partition()]), pa.array([np.ascontiguousarray(block).tobytes()], pa.binary())], ["block", "part", "data"])
@@ -177,15 +246,22 @@ def fit(rows: DataFrame, seed: int = 5) -> Space:
 
 @dataclass
 class Queries:
-    """Passages of benchmark items: latent vectors, weights by column as a share of the passage, item numbers.
+    """Passages of benchmark items: latent vectors, columns and their weights as shares of the passage, item numbers.
 
     ``rare`` is an exact filter over passages that cover all words of the items.
     """
 
     vectors: np.ndarray
-    weights: np.ndarray
+    weights: list[tuple[np.ndarray, np.ndarray]]
     item: np.ndarray
     rare: Rare
+    columns: list[list[int]]  # of each item
+
+    def close(self, text: np.ndarray, item: int, at: int) -> bool:
+        """Whether enough of an item's words stand in order near a place. Words of one column count as equal, so no leak is lost."""
+        own = self.columns[item]
+        lo, hi = _near(len(own), at)
+        return common_subsequence(own, text[lo:hi].tolist()) >= LCS_ANSWER * len(own)
 
 
 @dataclass
@@ -267,52 +343,64 @@ def _runs(x: np.ndarray) -> tuple[list[int], list[int], list[int]]:
 
 
 def queries(texts: list[str | None], space: Space) -> Queries:
-    """Items of over three blocks are cut into passages of two blocks."""
-    vectors, weights, item, whole, of = [], [], [], [], []
+    """Items of over three blocks are cut into passages of two blocks, the last one from the item's end."""
+    vectors, weights, item, whole, of, every = [], [], [], [], [], []
     for i, text in enumerate(texts):
         ids = columns(text).astype(np.int64)
+        every.append(ids.tolist())
         wide = 2 * BLOCK
         cut = [ids] if len(ids) <= 2 * wide else np.array_split(ids, -(-len(ids) // wide))
         whole += [p for p in cut if len(p)]
         of += [i] * (len(whole) - len(of))
-        parts = [ids] if len(ids) <= 3 * BLOCK else [p for p in (ids[at : at + wide] for at in range(0, len(ids), wide)) if len(p) >= BLOCK]
-        for part in parts:
-            if len(part):
-                v, w = space.fold[part].sum(axis=0), np.bincount(part, space.idf[part], WORDS + 1)
-                vectors.append(v / max(np.linalg.norm(v), 1e-12))
-                weights.append((w / max(w.sum(), 1e-12)).astype(np.float32))
-                item.append(i)
-    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), np.array(weights, np.float32).reshape(-1, WORDS + 1), np.array(item, np.int64), Rare.of(whole, of, space.idf))
+        starts = [0] if len(ids) <= 3 * BLOCK else [*range(0, len(ids) - wide, wide), len(ids) - wide]
+        for at in starts if len(ids) else ():
+            part = ids if len(starts) == 1 else ids[at : at + wide]
+            v, (own, times) = space.fold[part].sum(axis=0), np.unique(part, return_counts=True)
+            w = space.idf[own] * times
+            vectors.append(v / max(np.linalg.norm(v), 1e-12))
+            weights.append((own, (w / max(w.sum(), 1e-12)).astype(np.float32)))
+            item.append(i)
+    return Queries(np.array(vectors, np.float32).reshape(-1, RANK), weights, np.array(item, np.int64), Rare.of(whole, of, space.idf), every)
 
 
 def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = COSINE, overlap: float = OVERLAP) -> DataFrame:
     """(id, item, at): documents with a passage, from word ``at`` on, that is like an item's or has its rare words."""
-    sent = rows.sparkSession.sparkContext.broadcast((space, found))
+    sent = shared(rows.sparkSession, (space, found))
     kind = rows.schema["id"].dataType.simpleString()
 
-    def rare(batch, filter_):
+    def kept(batch, q, places):
+        """The rows of places (row of the batch, item, word) that are close to their items."""
         import pyarrow as pa
 
+        close, texts = [], {}
+        for i, item, at in places:
+            if i not in texts:
+                texts[i] = np.frombuffer(batch.column(1)[i].as_buffer(), np.uint16)
+            if q.close(texts[i], item, at):
+                close.append((i, item, at))
+        if close:
+            text, item, at = zip(*close, strict=True)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(item, pa.int64()), pa.array(at, pa.int64())], ["id", "item", "at"])
+
+    def rare(batch, q):
         chunk, first, size = [], 0, 0
         for i, data in enumerate(batch.column(1)):
             chunk.append(np.frombuffer(data.as_buffer(), np.uint16))
             size += len(chunk[-1])
             if size >= SEGMENT or i == batch.num_rows - 1:
-                text, item, at = filter_.places(chunk)
+                text, item, at = q.rare.places(chunk)
                 if len(text):
-                    text, item, at = np.unique(np.stack((text + first, item, at // BLOCK * BLOCK)), axis=1)
-                    yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(text)), pa.array(item), pa.array(at)], ["id", "item", "at"])
+                    yield from kept(batch, q, np.unique(np.stack((text + first, item, at // BLOCK * BLOCK)), axis=1).T.tolist())
                 chunk, first, size = [], i + 1, 0
 
     def search(batches):
-        import pyarrow as pa
-
         space, q = sent.value
+        weight = np.zeros(WORDS + 1, np.float32)
         done = None
         for batch, chunk in _segments(batches):
             if batch is not done:
                 done = batch
-                yield from rare(batch, q.rare)
+                yield from rare(batch, q)
             grid, segment, number = _blocks(chunk, BLOCK)
             v = _summed_rows(space.fold, grid)
             follows = np.append(segment[1:] == segment[:-1], False)
@@ -322,26 +410,35 @@ def candidates(rows: DataFrame, space: Space, found: Queries, cosine: float = CO
             vectors /= np.maximum(np.linalg.norm(vectors, axis=1, keepdims=True), 1e-12)
             seen = {}
             for lo in range(0, len(vectors), 2048):
-                p, k = np.nonzero(vectors[lo : lo + 2048] @ q.vectors.T >= cosine)
-                if not len(p):
-                    continue
-                own = _once(np.concatenate((grid[first[lo : lo + 2048]], grid[second[lo : lo + 2048]]), axis=1))
-                for part in range(0, len(p), 20_000):
-                    pp, kk = p[part : part + 20_000], k[part : part + 20_000]
-                    held = q.weights[kk[:, None], own[pp]].sum(axis=1) >= overlap
-                    for x, y in zip((pp[held] + lo).tolist(), kk[held].tolist(), strict=True):
-                        i, at_word, _ = chunk[segment[first[x]]]
-                        seen[i, int(q.item[y]), at_word + int(number[first[x]]) * BLOCK] = None
-            if seen:
-                keys = batch.column(0).take(pa.array([x[0] for x in seen]))
-                yield pa.RecordBatch.from_arrays([keys, pa.array([x[1] for x in seen], pa.int64()), pa.array([x[2] for x in seen], pa.int64())], ["id", "item", "at"])
+                own = None
+                for few in range(0, len(q.vectors), 4096):
+                    k, p = np.nonzero(q.vectors[few : few + 4096] @ vectors[lo : lo + 2048].T >= cosine)
+                    if not len(p):
+                        continue
+                    if own is None:
+                        own = _once(np.concatenate((grid[first[lo : lo + 2048]], grid[second[lo : lo + 2048]]), axis=1))
+                    for y, a, b in zip(*_runs(k), strict=True):  # one item's passage at a time, so that its weights stay near
+                        cols, share = q.weights[few + y]
+                        weight[cols] = share
+                        held = p[a:b][weight[own[p[a:b]]].sum(axis=1) >= overlap]
+                        weight[cols] = 0
+                        for x in (held + lo).tolist():
+                            i, at_word, _ = chunk[segment[first[x]]]
+                            seen[i, int(q.item[few + y]), at_word + int(number[first[x]]) * BLOCK] = None
+            yield from kept(batch, q, seen)
 
     return rows.mapInArrow(search, f"id {kind}, item long, at long")
 
 
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def _near(n: int, at: int) -> tuple[int, int]:
+    """The words to compare with an item of ``n`` words at a candidate passage."""
+    reach = n + n // 4 + BLOCK
+    return max(0, at - reach), at + 2 * BLOCK + reach
+
+
+def common_subsequence(a: list, b: list) -> int:
     """The length of the longest common subsequence, with one bit per word of ``a``."""
-    masks: dict[str, int] = {}
+    masks: dict = {}
     for i, w in enumerate(a):
         masks[w] = masks.get(w, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -359,8 +456,8 @@ def _answer(text: str | None) -> list[str]:
 
 def _judged(item: list[str], answer: list[str], text: list[str], at: int) -> tuple[float, bool]:
     """The best share of the item's words in order near ``at``, and whether the answer is there in full."""
-    reach = len(item) + len(item) // 4 + BLOCK
-    near = text[max(0, at - reach) : at + 2 * BLOCK + reach]
+    lo, hi = _near(len(item), at)
+    near = text[lo:hi]
     share = common_subsequence(item, near) / max(1, len(item))
     return share, bool(answer) and common_subsequence(answer, near) == len(answer)
 
@@ -371,34 +468,39 @@ def leaks(df: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str
     Items without words, null or empty, leak nowhere, and texts without words leak nothing. Ids of several
     rows are judged by all of their texts; a null id is one id. Statistics, the latent space and the search
     cover all words of all texts. An empty table of either kind gives an empty table. Other columns are
-    ignored. Items are read in blocks of ITEMS, ordered by id.
+    ignored. Items are read in blocks of ITEM_CHARS, ordered by id.
     """
     spark = df.sparkSession
     kind = df.schema[id_col].dataType.simpleString()
 
-    def hashed(batches):
+    def columns_of(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([columns(t.as_py()).tobytes() for t in batch.column(1)], pa.binary())], ["id", "columns"])
+            for lo in range(0, len(batch), 1000):
+                part = batch.slice(lo, 1000)
+                found, starts = hashed(part.column(1).to_pylist())
+                data = found.tobytes()
+                cells = [data[2 * a : 2 * b] for a, b in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(cells, pa.binary())], ["id", "columns"])
 
     texts = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    rows = materialise(texts.mapInArrow(hashed, f"id {kind}, columns binary"), "columns")
+    rows = materialise(texts.mapInArrow(columns_of, f"id {kind}, columns binary"), "columns")
     space = fit(rows)
     chosen = items.select(F.col(item_col).alias("item_id"), F.col(item_text).alias("text"), (F.col(answer_col) if answer_col else F.lit(None)).cast("string").alias("answer"))
     out = None
-    block: list = []
+    block, size = [], 0
     stream = chosen.orderBy("item_id", "text").toLocalIterator()
     while True:
         row = next(stream, None)
-        if row is not None:
-            block.append(row)
-        if len(block) == ITEMS or (row is None and block):
+        if block and (row is None or size >= ITEM_CHARS):
             part = _leaks(texts, rows, space, block, kind, items.schema[item_col].dataType)
             out = part if out is None else out.union(part)
-            block = []
+            block, size = [], 0
         if row is None:
             break
+        block.append(row)
+        size += len(row.text or "") + len(row.answer or "")
     if out is None:
         out = spark.createDataFrame([], f"id {kind}, item_id {items.schema[item_col].dataType.simpleString()}, share double, answered boolean")
     return out.groupBy(F.col("id").alias(id_col), F.col("item_id").alias(item_col)).agg(F.max("share").alias("share"), F.max("answered").alias("answered"))
@@ -408,10 +510,10 @@ def _leaks(texts: DataFrame, rows: DataFrame, space: Space, block: list, kind: s
     found = queries([x.text for x in block], space)
     near = materialise(candidates(rows, space, found).groupBy("id").agg(F.collect_set(F.struct("item", "at")).alias("near")), "candidates")
     source = texts
-    if near.count() <= BROADCAST_IDS:
+    if near.count() <= BROADCAST_IDS:  # texts without candidates are not shuffled
         source = source.join(F.broadcast(near.select(F.col("id").alias("k"))), F.col("id").eqNullSafe(F.col("k")), "left_semi")
     source = source.join(near.withColumnRenamed("id", "k"), F.col("id").eqNullSafe(F.col("k"))).select("id", "text", "near")
-    sent = texts.sparkSession.sparkContext.broadcast([(x.item_id, words(x.text), words(x.answer) or _answer(x.text)) for x in block])
+    sent = shared(texts.sparkSession, [(x.item_id, words(x.text), words(x.answer) or _answer(x.text)) for x in block])
 
     def read(batches):
         import pyarrow as pa
