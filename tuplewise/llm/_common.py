@@ -35,26 +35,47 @@ def materialise(df: DataFrame, name: str, compression: str | None = None) -> Dat
 
 
 def shared(spark: SparkSession, value):
-    """A broadcast that ``clear`` destroys. ``value`` is of bounded size."""
+    """A broadcast that ``release`` destroys. ``value`` is of bounded size."""
     found = spark.sparkContext.broadcast(value)
-    _sent.append(found)
+    _sent.append((spark, found))
     return found
 
 
+def marks() -> tuple[int, int]:
+    """Where the lists of scratch tables and broadcasts end now."""
+    return len(_written), len(_sent)
+
+
+def taken(since: tuple[int, int]) -> tuple[list, list]:
+    """What was added since, for ``release``."""
+    return _written[since[0] :], _sent[since[1] :]
+
+
+def release(what: tuple[list, list]) -> None:
+    """Deletes scratch tables and destroys broadcasts of an operator, once its result is written."""
+    for one in what[1]:
+        if one in _sent:
+            _sent.remove(one)
+            if one[0].sparkContext._jsc is not None:  # else the session is stopped
+                one[1].destroy()
+    for one in what[0]:
+        if one in _written and one[0].sparkContext._jsc is not None:
+            _written.remove(one)
+            _delete(*one)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
 @atexit.register
 def clear() -> None:
-    """Deletes the scratch tables and destroys the broadcasts of this process: for when all results are written."""
-    while _sent:
-        try:
-            _sent.pop().destroy()
-        except Exception:  # the session is gone, and the broadcast with it
-            _sent.clear()
+    """Deletes the scratch tables of this process."""
     while _written:
-        spark, path = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            at = jvm.org.apache.hadoop.fs.Path(path)
-            at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+            _delete(*_written.pop())
         except Exception:  # the session is gone; the folder's owner clears it
             return
 
