@@ -39,7 +39,8 @@ class RunTokens(dict):
     """Maps a run of non-space characters to its ids as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and never joins across it, so a text's ids are its runs' ids in order,
-    and a run's are its pre-tokens'. Both are remembered; all beyond ``most`` of either kind is forgotten.
+    and a run's are its pre-tokens'. Both are remembered; all beyond ``most`` of either kind is forgotten. A text
+    with one of the tokenizer's added tokens, such as <|endoftext|>, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -49,7 +50,7 @@ class RunTokens(dict):
         super().__init__()
         self.most, self.words = most, {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = tuple(x.content for x in self.tokenizer.get_added_tokens_decoder().values())
         self.model, self.split, self.letters = self.tokenizer.model, regex.compile(PRE_TOKENS).findall, _byte_letters()
 
     def word(self, word: str) -> bytes:
@@ -68,7 +69,7 @@ class RunTokens(dict):
         return found
 
     def ids(self, text: str) -> bytes:
-        if any(c in text for c in _NOT_SPACE):
+        if any(c in text for c in _NOT_SPACE) or any(x in text for x in self.added):  # an added token is no run's part
             return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         return b"".join(map(self.__getitem__, text.split()))
 
