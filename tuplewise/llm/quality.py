@@ -16,7 +16,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, held_out, materialise, mixed, sampled
+from ._common import WordHashes, documents, held_out, materialise, mixed, sampled, shared
 
 BITS = 20
 #: At most so many labelled documents are used for training, the first in the order of a hash of their ids.
@@ -38,7 +38,7 @@ _CLASSES = [(re.compile(r"[^\W\d_]*[a-zß-öø-ÿ][^\W\d_]*"), "a"), (re.compile
 def shape(word: str) -> str:
     for pattern, mark in _CLASSES:
         word = pattern.sub(mark, word)
-    return _SHAPES.sub(r"\1", word)[:12]
+    return _SHAPES.sub(r"\1", word)
 
 
 class _Words(WordHashes):
@@ -162,8 +162,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lab
 
 
 def scored(df: DataFrame, model: Model, id_cols: tuple[str, ...] = ("doc_id",), text_col: str = "text") -> DataFrame:
-    """``id_cols`` and score, 0 to 1, of every whole text. Null and empty texts score alike, by a feature of their own."""
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    """``id_cols`` and score, 0 to 1, of every whole text.
+
+    Null and empty texts score alike, by a feature of their own. Every row has its own score: repeated rows and
+    equal texts score alike, also under one id, and a score depends on nothing but the text, so ties are equal
+    scores. An empty table gives an empty table; other columns are ignored.
+    """
+    sent = shared(df.sparkSession, model)
 
     def score(batches):
         import pyarrow as pa
