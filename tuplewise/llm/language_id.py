@@ -13,15 +13,16 @@ scoring adds table rows over all subwords of the whole text.
 from __future__ import annotations
 
 import re
+import sys
 from dataclasses import dataclass
-from functools import cached_property
+from functools import cache, cached_property
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import documents, held_out, sampled
+from ._common import documents, held_out, sampled, shared
 
 BUCKETS = 1 << 16
 GRAMS = (2, 3, 4, 5)
@@ -36,9 +37,23 @@ _PRIMES = [np.uint32(x) for x in (0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F
 _CHUNK = 1 << 20
 
 
+@cache
+def _other_numbers() -> re.Pattern:
+    """Characters that are alphanumeric, but neither letters nor decimal digits."""
+    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
+    return re.compile(f"[{''.join(found)}]+")
+
+
 def letters(text: str | None) -> bytes:
-    """Lower-case words between single spaces, one at either end; empty if there is no letter."""
-    plain = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    """Lower-case words between single spaces, one at either end; empty if there is no letter.
+
+    Letters are the characters for which ``isalpha()`` holds: numbers such as ½, ² or Ⅷ are none.
+    """
+    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
+    if not plain.isascii():
+        plain = _other_numbers().sub(" ", plain)
+        plain = " ".join(plain.split())
+    plain = plain.strip()
     return f" {plain} ".encode("utf-8", "surrogatepass") if plain else b""
 
 
@@ -165,7 +180,7 @@ def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     and rejected. Other texts get their likeliest language, and are rejected if its calibrated probability
     is under the model's bar. An empty table stays empty; columns of these three names are replaced.
     """
-    sent = df.sparkSession.sparkContext.broadcast(model)
+    sent = shared(df.sparkSession, model)
     names = ["lang_pred", "lang_score", "lang_rejected"]
     kept = df.drop(*names)
     schema = T.StructType([*kept.schema.fields, T.StructField(names[0], T.StringType()), T.StructField(names[1], T.DoubleType()), T.StructField(names[2], T.BooleanType())])
