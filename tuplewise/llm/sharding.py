@@ -1,14 +1,15 @@
 """Sharding by fixed virtual slots.
 
 Every record hashes into one of ``n_slots`` virtual slots, whatever the number of shards. Bytes are summed
-per slot, and a versioned table maps slots to shards. Rebalancing edits that table: single slots move from
-the heaviest to the lightest shard; records never hash anew. All row work is DataFrame code; the driver
-sees one row per slot, at most ``n_slots``.
+per slot, and a versioned table maps slots to shards. Rebalancing loads the table's last version, moves single
+slots from the heaviest to the lightest shard and stores the next version; records never hash anew. All row work
+is DataFrame code; the driver sees one row per slot, at most ``n_slots``.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 from bisect import bisect_left, insort
 from dataclasses import dataclass, field
 
@@ -16,9 +17,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from ._common import documents, materialise
+from ._common import documents, materialise, scratch_dir
 
 N_SLOTS = 4096
+#: Kinds of repeated rows that may be broadcast: 1 million of 24 bytes.
+BROADCAST_ROWS = 1_000_000
 
 
 @dataclass
@@ -82,44 +85,85 @@ class SlotMap:
                 heapq.heappush(heap, (-load[i], i))
         return self._moved(moves, self.n_shards + 1)
 
+    def store(self, spark: SparkSession, path: str) -> None:
+        """Adds this version to the table at ``path``, a folder of its own. A version that is there already is an error."""
+        self.table(spark).coalesce(1).write.mode("errorifexists").parquet(f"{path}/v{self.version}")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, version: int | None = None) -> SlotMap | None:
+        """The last version at ``path``, or the one asked for; None where there is none."""
+        jvm = spark.sparkContext._jvm
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        files = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        if version is None:
+            found = [x.getPath().getParent().getName() for x in files.globStatus(jvm.org.apache.hadoop.fs.Path(f"{path}/v*/_SUCCESS")) or ()]
+            if not found:
+                return None
+            version = max(int(x[1:]) for x in found)
+        rows = spark.read.parquet(f"{path}/v{version}").orderBy("slot").collect()  # n_slots rows
+        return cls([r.shard for r in rows], rows[0].n_shards, version, [r.edited for r in rows])
+
     def table(self, spark: SparkSession) -> DataFrame:
-        """version, slot, shard, edited: one row per slot, as stored."""
+        """version, n_shards, slot, shard, edited: one row per slot, as stored."""
         at = F.col("slot").cast("int") + 1
         return spark.range(len(self.shard)).withColumnRenamed("id", "slot").select(
-            F.lit(self.version).alias("version"), "slot",
+            F.lit(self.version).alias("version"), F.lit(self.n_shards).alias("n_shards"), "slot",
             F.element_at(F.lit(self.shard), at).alias("shard"), F.element_at(F.lit(self.edited), at).alias("edited"))
 
 
 def with_slots(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> DataFrame:
-    """id, size (UTF-8 bytes plus 1), text_crc32, vslot. A null text has no bytes and the checksum 0.
+    """id, size (UTF-8 bytes plus 1), text_crc32, vslot, as a written table. A null text has no bytes and the checksum 0.
 
     The slot hash takes the id, the size and the checksum, so that rows that share an id, null included, spread.
+    Rows that share all three, of which any number may be there, get slots by turns instead.
     """
     size = F.coalesce(F.octet_length(text_col), F.lit(0)).cast("long") + 1
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
-    return df.select(id_col, size.alias("size"), crc.alias("text_crc32")).withColumn(
-        "vslot", F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(n_slots)))
-
-
-def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS) -> tuple[DataFrame, SlotMap]:
+    turn = F.monotonically_increasing_id()
+    rows = df.select(id_col, size.alias("size"), crc.alias("text_crc32")).withColumns({"vslot": F.pmod(F.xxhash64(id_col, "size", "text_crc32"), F.lit(n_slots)), "_turn": turn})
+    rows = materialise(rows, "slots")
+    same = [id_col, "size", "text_crc32"]
+    repeated = rows.groupBy(*same).count().where("count > 1").select(F.struct(*same).alias("_row"))
+    repeated = materialise(repeated, "repeated-rows")
+    if repeated.isEmpty():
+        return rows.drop("_turn")
+    if repeated.count() <= BROADCAST_ROWS:
+        repeated = F.broadcast(repeated)
+    marked = rows.withColumn("_own", F.struct(*same)).join(repeated, F.col("_own").eqNullSafe(F.col("_row")), "left")
+    vslot = F.when(F.col("_row").isNull(), F.col("vslot")).otherwise(F.pmod(F.xxhash64("_turn"), F.lit(n_slots)))
+    return materialise(marked.select(*same, vslot.alias("vslot")), "slots")
+
+
+def shard(df: DataFrame, n_shards: int = 16, id_col: str = "doc_id", text_col: str = "text", n_slots: int = N_SLOTS, map_path: str | None = None) -> tuple[DataFrame, SlotMap]:
     """Deals all rows into ``n_shards`` shards of near equal bytes.
 
+    The slot map's last version at ``map_path`` is loaded and edited, if these rows weigh other slots more, and
+    then stored as the next version; without one, or without a path, it starts from slots dealt by turns.
     Returns (id, size, text_crc32, vslot, shard, slot, map_version), and the map; ``slot`` counts a shard's
-    rows from 0 without gaps. Null ids and texts, equal ids and repeated rows each keep their own row; an
-    empty table gives an empty table. Columns of the input other than the two named are ignored.
+    rows from 0 without gaps, ties in any order. Null ids and texts, equal ids and repeated rows each keep their
+    own row; an empty table gives an empty table. Columns of the input other than the two named are ignored.
     """
     spark = df.sparkSession
-    rows = materialise(with_slots(df, id_col, text_col, n_slots), "slots")
+    map_path = map_path or f"{scratch_dir(spark)}/slot-map-{uuid.uuid4().hex}"
+    rows = with_slots(df, id_col, text_col, n_slots)
     size, count = [0] * n_slots, [0] * n_slots
     for r in rows.groupBy("vslot").agg(F.sum("size").alias("b"), F.count("*").alias("n")).collect():
         size[r.vslot], count[r.vslot] = r.b, r.n
-    slots = SlotMap.initial(n_slots, n_shards).rebalanced(size)
+    slots = SlotMap.load(spark, map_path)
+    if slots is None:
+        slots = SlotMap.initial(n_slots, n_shards)
+        slots.store(spark, map_path)
+    if (len(slots.shard), slots.n_shards) != (n_slots, n_shards):
+        raise ValueError(f"the map at {map_path} has {len(slots.shard)} slots and {slots.n_shards} shards")
+    edited = slots.rebalanced(size)
+    if edited.shard != slots.shard:
+        slots = edited
+        slots.store(spark, map_path)
     before, so_far = [0] * n_slots, [0] * n_shards
     for i, to in enumerate(slots.shard):
         before[i], so_far[to] = so_far[to], so_far[to] + count[i]
-    stored = materialise(slots.table(spark), f"slot-map-v{slots.version}")
     first = F.element_at(F.lit(before), F.col("slot").cast("int") + 1).cast("long").alias("before")
-    owner = stored.select(F.col("slot").alias("vslot"), "shard", F.col("version").alias("map_version"), first)
+    owner = spark.read.parquet(f"{map_path}/v{slots.version}").select(F.col("slot").alias("vslot"), "shard", F.col("version").alias("map_version"), first)
     place = F.row_number().over(Window.partitionBy("vslot").orderBy(id_col, "text_crc32", "size"))
     out = rows.withColumn("place", place).join(F.broadcast(owner), "vslot")  # n_slots rows
     return out.select(id_col, "size", "text_crc32", "vslot", "shard", (F.col("before") + F.col("place") - 1).alias("slot"), "map_version"), slots
