@@ -20,13 +20,15 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, materialise, mixed, summed
+from ._common import WordHashes, documents, materialise, mixed, shared, summed
 from .graphs import components
 
 ROWS = 5
 #: A pair at the bar shares no band with this probability at most.
 MISS = 5e-7
 MANTISSA_BITS = 10
+#: A table of counts has so many bits at most, of about as many cells as there are shingles; beyond it counts are joined.
+TABLE_BITS = 22
 #: Needed nodes of which the ids may be broadcast: 1 million of 8 bytes.
 BROADCAST_IDS = 1_000_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
@@ -214,10 +216,8 @@ def _ends(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.col("a").alias("c")).union(pairs.select(F.col("b").alias("c"))).distinct()
 
 
-def _frequencies(sets: DataFrame) -> np.ndarray:
-    """Counts of the shingles of ``sets`` in a hashed table, of about as many cells as there are shingles."""
-    total = sets.agg(F.sum(F.length("data"))).first()[0] or 0
-    bits = min(22, max(12, (total // 8).bit_length()))
+def _frequencies(sets: DataFrame, bits: int) -> np.ndarray:
+    """Counts of the shingles of ``sets`` in a hashed table."""
 
     def count(batches):
         import pyarrow as pa
@@ -234,14 +234,14 @@ def _frequencies(sets: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["data"], "<i4") for r in sorted(got, key=lambda r: r.block)]) if got else np.zeros(1 << bits, np.int32)
 
 
-def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that can reach the similarity, by the rare shingles they share.
+def _front(n: int, percent: int) -> int:
+    """How many of a set's ``n`` shingles, in one order of all, sets of that similarity must share one of."""
+    return n - (percent * n + 99) // 100 + 1
 
-    All shingles have one order, rare ones first. Sets of that similarity share a shingle among their first
-    few, and the first one they share leaves enough behind it in both. Only pairs for which that holds meet.
-    A shingle's most frequent root meets the others only, so one large component costs no pairs of its own.
-    """
-    table = sets.sparkSession.sparkContext.broadcast(_frequencies(sets))
+
+def _few_by_table(mixed_sets: DataFrame, percent: int, bits: int) -> DataFrame:
+    """The front of every set, by counts in a table of at most 2 ** TABLE_BITS cells that is broadcast."""
+    table = shared(mixed_sets.sparkSession, _frequencies(mixed_sets, bits))
 
     def first_few(batches):
         import pyarrow as pa
@@ -252,13 +252,44 @@ def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             out = []
             for c, root, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 x = np.frombuffer(data.as_buffer(), np.uint64)
-                n = len(x) - (percent * len(x) + 99) // 100 + 1
+                n = _front(len(x), percent)
                 x = x[np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[:n]]
                 out.append((x.view(np.int64), np.arange(1, n + 1), np.full(n, len(data.as_buffer()) // 8), np.full(n, c), np.full(n, root)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], ["x", "p", "n", "c", "root"])
 
-    few = mixed_nodes.join(sets, "c").select("c", "root", "data").mapInArrow(first_few, "x long, p long, n long, c long, root long")
+    return mixed_sets.mapInArrow(first_few, "x long, p long, n long, c long, root long")
+
+
+def _few_by_join(mixed_sets: DataFrame, percent: int) -> DataFrame:
+    """The front of every set, by exact counts that are joined: for more shingles than a table tells apart."""
+
+    def each(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for c, root, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+                x = np.frombuffer(data.as_buffer(), np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), len(x))), pa.array(np.full(len(x), c)), pa.array(np.full(len(x), root))], ["x", "n", "c", "root"])
+
+    rows = mixed_sets.mapInArrow(each, "x long, n long, c long, root long")
+    counts = rows.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
+    ranked = rows.join(counts, "x", "left").groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "x"))).alias("xs"))
+    n = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
+    return ranked.select(F.posexplode(F.slice("xs", F.lit(1), n.cast("int"))).alias("p", "one"), "n", "c", "root").select(F.col("one.x").alias("x"), (F.col("p") + 1).cast("long").alias("p"), "n", "c", "root")
+
+
+def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes of different roots that can reach the similarity, by the rare shingles they share.
+
+    All shingles have one order, rare ones first. Sets of that similarity share a shingle among their first
+    few, and the first one they share leaves enough behind it in both. Only pairs for which that holds meet.
+    A shingle's most frequent root meets the others only, so one large component costs no pairs of its own.
+    """
+    mixed_sets = mixed_nodes.join(sets, "c").select("c", "root", "data")
+    total = mixed_sets.agg(F.sum(F.length("data"))).first()[0] or 0
+    bits = max(12, (total // 8).bit_length())
+    few = _few_by_table(mixed_sets, percent, bits) if bits <= TABLE_BITS else _few_by_join(mixed_sets, percent)
     few = materialise(few, "prefixes")
     roots = few.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("x", "main")
     few = materialise(few.join(roots, "x"), "shared-prefixes")
