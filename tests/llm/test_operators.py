@@ -211,6 +211,33 @@ def test_slot_maps():
     assert even.rebalanced(size).shard == even.shard
 
 
+def test_a_stored_slot_map_is_loaded_and_edited(spark, tmp_path):
+    at, r = str(tmp_path / "map"), random.Random(3)
+    day = lambda n, w: spark.createDataFrame([(i, prose(r, r.randint(1, w))) for i in range(n)], "doc_id long, text string")
+    assert sharding.SlotMap.load(spark, at) is None
+    first = day(300, 20)
+    _, one = sharding.shard(first, 4, n_slots=64, map_path=at)
+    assert sharding.SlotMap.load(spark, at) == one and one.version == 1 and sharding.SlotMap.load(spark, at, 0).shard == [i % 4 for i in range(64)]
+    _, same = sharding.shard(first, 4, n_slots=64, map_path=at)
+    assert same == one  # nothing to even out
+    out, two = sharding.shard(day(400, 90), 4, n_slots=64, map_path=at)
+    assert two.version == 2 and sharding.SlotMap.load(spark, at) == two and {x.map_version for x in out.select("map_version").distinct().collect()} == {2}
+    moved = [i for i in range(64) if one.shard[i] != two.shard[i]]
+    assert 0 < len(moved) < 64 and all((two.edited[i] == 2) == (i in moved) for i in range(64))
+    with pytest.raises(Exception, match="(?i)exist"):
+        two.store(spark, at)
+    with pytest.raises(ValueError, match="4 shards"):
+        sharding.shard(first, 5, n_slots=64, map_path=at)
+
+
+def test_many_equal_rows_spread_over_shards(spark):
+    df = spark.createDataFrame([(7, "x" * 100)] * 5000 + [(i, "y" * (i % 60)) for i in range(498)], "doc_id long, text string")
+    by = collections.Counter()
+    for x in sharding.shard(df)[0].collect():
+        by[x.shard] += x.size
+    assert max(by.values()) - min(by.values()) < 0.01 * sum(by.values()) / 16
+
+
 # 3
 
 
@@ -249,7 +276,7 @@ def test_packing(docs, none, awkward):
 def test_run_tokens_equal_the_tokenizer():
     t = packing.RunTokens(tokenizer(), most=50)
     r = random.Random(3)
-    for x in ["Σας ΟΔΟΣ İstanbul it's WE'LL 10,000²", "<|endoftext|> a\x1fb\x00c", "Å é ́x ﬁ ½ ٣", "👍🏽 日本語", "'s'S's", "", prose(r, 200)]:
+    for x in ["a <|endoftext|><|startoftext|>b <|EndOfText|>", "Σας ΟΔΟΣ İstanbul it's WE'LL 10,000²", "<|endoftext|> a\x1fb\x00c", "Å é ́x ﬁ ½ ٣", "👍🏽 日本語", "'s'S's", "", prose(r, 200)]:
         assert t.ids(x) == np.asarray(t.tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
 
@@ -369,6 +396,47 @@ def test_licenses(spark, docs, none):
     assert licenses.scan(docs).count() == docs.count() and licenses.scan(none).count() == 0
 
 
+def canonical_license(text):
+    """The normalisation word by word."""
+    import regex
+
+    lines = [x.lower() for x in text.split("\n")]
+    words = " ".join(regex.sub(r"[^\p{L}\p{N}]+", " ", x) for x in lines if not re.search(licenses.COPYRIGHT, x)).split()
+    for a, b in licenses.EQUIVALENT:
+        old, i = a.split(), 0
+        while i < len(words):
+            if words[i : i + len(old)] == old:
+                words[i : i + len(old)] = b.split()
+            i += 1
+    return " ".join(words)
+
+
+def test_license_texts_word_by_word(spark):
+    wrapped = "Permission is hereby granted,\nprovided that the\ncopyright notice of the Copyright\nOwner is kept.\nCopyright (c) 2021 X\n(C) 1999-2001 Y\n# Copyright [yyyy] [name]\nAll rights reserved.\nall rights reserved by nobody"
+    texts = ["Licence licence LICENCE, licence", "per cent per cent sub-licence sub licence", "copyright\nowner copyright owner", wrapped, "", "\n\n", "Copyright 2020", "whilst", "é È ß", *[b for _, b in licenses.KNOWN]]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: r.c for r in df.select("doc_id", licenses.canonical(F.col("text")).alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == [canonical_license(t) for t in texts]
+    assert "copyright notice of the copyright holder is kept all rights reserved by nobody" in got[3]
+
+
+def test_long_licenses(spark, tmp_path):
+    import pathlib
+
+    import duckdb
+
+    files = {"Apache-2.0": "Apache-2.0", "GPL-2.0-only": "GPL-2", "GPL-3.0-only": "GPL-3", "LGPL-2.1-only": "LGPL-2.1", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    there = {k: pathlib.Path("/usr/share/common-licenses", f) for k, f in files.items()}
+    found = [(k, p.read_text()) for k, p in there.items() if p.exists()]
+    rows = [(i, "Copyright (C) 2024 Ann\n" + t.upper().replace("\n\n", "\n \n")) for i, (_, t) in enumerate(found)] + [(90, None), (91, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sorted(tuple(r) for r in licenses.scan(df).select("doc_id", "license", "n_lines", "licenses").collect())
+    assert [r[1] for r in got[: len(found)]] == [k for k, _ in found]
+    duckdb.sql(f"create or replace temp view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    assert sorted(duckdb.sql(licenses.oracle()).fetchall()) == got
+
+
 # 7
 
 
@@ -394,7 +462,31 @@ def test_fingerprints(spark, awkward, tmp_path, none):
 def test_composition(spark):
     texts = ["é", "é", "Å", "Å", "Å", "ß", "SS", "a  b", "A B", "ế", "ế"]
     got = [r[0] for r in spark.createDataFrame([(t,) for t in texts], "t string").select(fingerprints.canonical(F.col("t"))).collect()]
-    assert got[0] == got[1] and got[2] == got[3] == got[4] and got[7] == got[8] and got[9] == got[10] and len(set(got)) == 6
+    assert got[0] == got[1] and got[2] == got[3] == got[4] and got[7] == got[8] and got[9] == got[10] and got[5] == got[6] and len(set(got)) == 5
+
+
+def test_normalisation_against_unicode_data(spark):
+    import unicodedata
+
+    r = random.Random(15)
+    marks = [c for c in map(chr, range(0x300, 0x370)) if unicodedata.combining(c)] + ["\u05b0", "\u0591", "\u093c", "\u0bbe", "\u09be", "\u3099", "\U0001d165", "\U000110ba"]
+    bases = [*"aeioucAEOU<=", "\u1ea1", "\u1ec7", "\u0958", "\u2126", "\u212b", "\u0390", "\u01e0", "\ufb1d", "\u0bc6", "\u09c7", "\u304b", "\U00011099", "\U0001f600", "\u1112", "\u1161", "\u11ab", "\ud55c", "\ud558", " ", "\n", "\u1100", "\u11a8", "\U0001d157"]
+    texts = ["".join(r.choice(bases) + "".join(r.choices(marks, k=r.choice([0, 0, 1, 2, 3]))) for _ in range(r.randint(1, 12))) for _ in range(1500)]
+    texts += ["\u00e2\u0323", "\u1ead", "\u1112\u1161\u11ab", "\ud55c", "a" + "\u0323\u0302" * 40, "\u0301x", "", unicodedata.normalize("NFD", "\ud55c\uae00 \u1ec7\u00e9\u00fc\U0001f600" * 30)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, t string")
+    got = {x.i: x.c for x in df.select("i", fingerprints.composed(F.col("t")).alias("c")).collect()}
+    assert [got[i] for i in range(len(texts))] == [unicodedata.normalize("NFC", t) for t in texts]
+
+
+def test_case_folding(spark):
+    every = [chr(c) for c in range(0x20, 0x1f000) if not 0xd800 <= c < 0xe000 and chr(c).casefold() != chr(c)]
+    words = ["\u00df", "SS", "\u039f\u0394\u039f\u03a3", "\u03bf\u03b4\u03bf\u03c2", "\ufb03x", "\u0130", "\u0131", "I"]
+    df = spark.createDataFrame(list(enumerate([*words, *every])), "i long, t string")
+    rows = [(x.a, x.b) for x in df.select(fingerprints.folded(F.col("t")).alias("a"), F.col("t").alias("b")).collect()]
+    fold = dict((b, a) for a, b in rows)
+    again = {x.t: x.a for x in spark.createDataFrame([(t.casefold(),) for t in fold], "t string").select("t", fingerprints.folded(F.col("t")).alias("a")).collect()}
+    assert all(a == again[t.casefold()] for t, a in fold.items())  # what folds alike for Unicode folds alike here
+    assert fold["\u00df"] == fold["SS"] and fold["\u0131"] != fold["I"] and fold[words[2]] == fold[words[3]]
 
 
 def test_next_rows_over_blocks(spark):
@@ -473,6 +565,36 @@ def test_near_duplicates(spark, docs, none, awkward, words, percent):
     assert near_dedup.near_duplicates(none, words, percent).count() == 0
 
 
+@pytest.mark.parametrize("percent", [80, 85])
+def test_fronts_by_table_and_by_join(spark, percent):
+    r = np.random.default_rng(5)
+    pool = r.integers(0, 2**64, 200, np.uint64)
+    rows = [(c, c % 3, np.unique(r.choice(pool, r.integers(1, 60))).tobytes()) for c in range(40)]
+    df = spark.createDataFrame(rows, "c long, root long, data binary")
+    counts = collections.Counter(x for _, _, d in rows for x in np.frombuffer(d, np.int64).tolist())
+    want = set()
+    for c, root, d in rows:
+        own = np.frombuffer(d, np.int64).tolist()
+        order = sorted(own, key=lambda x: (counts[x], x))
+        want |= {(x, p + 1, len(own), c, root) for p, x in enumerate(order[: near_dedup._front(len(own), percent)])}
+    assert {tuple(x) for x in near_dedup._few_by_join(df, percent).collect()} == want
+    table = near_dedup._few_by_table(df, percent, 16).collect()
+    assert len(table) == len(want) and {(x.c, x.p) for x in table} == {(c, p) for _, p, _, c, _ in want}
+
+
+def test_near_duplicates_by_joined_counts(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "TABLE_BITS", 1)
+    r = random.Random(12)
+    base, rows = prose(r, 80).split(), []
+    for i in range(50):
+        w = list(base)
+        for _ in range(r.randint(0, 8)):
+            w[r.randrange(80)] = f"new{r.random()}"
+        rows.append((i, " ".join(w)))
+    got = collections.Counter((x.doc_id, x.n_shingles, x.component_id) for x in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), 3, 85).collect())
+    assert got == brute_components(rows, 3, 85)
+
+
 def test_registers_estimate():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 2**64, 3000, np.uint64), r.integers(0, 2**64, 3000, np.uint64)
