@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -52,16 +53,26 @@ def taken(since: tuple[int, int]) -> tuple[list, list]:
 
 
 def release(what: tuple[list, list]) -> None:
-    """Deletes scratch tables and destroys broadcasts of an operator, once its result is written."""
+    """Deletes scratch tables and destroys broadcasts of an operator, once its result is written.
+
+    A collection on the driver follows: only then does Spark's cleaner free the shuffles and broadcasts of plans
+    that are gone, on the executors too.
+    """
+    alive = None
     for one in what[1]:
         if one in _sent:
             _sent.remove(one)
             if one[0].sparkContext._jsc is not None:  # else the session is stopped
                 one[1].destroy()
+                alive = one[0]
     for one in what[0]:
         if one in _written and one[0].sparkContext._jsc is not None:
             _written.remove(one)
             _delete(*one)
+            alive = one[0]
+    gc.collect()
+    if alive is not None:
+        alive.sparkContext._jvm.System.gc()
 
 
 def _delete(spark: SparkSession, path: str) -> None:

@@ -38,10 +38,9 @@ _CHUNK = 1 << 20
 
 
 @cache
-def _other_numbers() -> re.Pattern:
-    """Characters that are alphanumeric, but neither letters nor decimal digits."""
-    found = [c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal()]
-    return re.compile(f"[{''.join(found)}]+")
+def _other_numbers() -> dict[int, str]:
+    """Characters that are alphanumeric, but neither letters nor decimal digits, and a space for each."""
+    return {cp: " " for cp in range(128, sys.maxunicode + 1) if (c := chr(cp)).isalnum() and not c.isalpha() and not c.isdecimal()}
 
 
 def letters(text: str | None) -> bytes:
@@ -49,11 +48,9 @@ def letters(text: str | None) -> bytes:
 
     Letters are the characters for which ``isalpha()`` holds: numbers such as ½, ² or Ⅷ are none.
     """
-    plain = _NOT_LETTERS.sub(" ", (text or "").lower())
-    if not plain.isascii():
-        plain = _other_numbers().sub(" ", plain)
-        plain = " ".join(plain.split())
-    plain = plain.strip()
+    plain = _NOT_LETTERS.sub(" ", (text or "").lower()).strip()
+    if plain and not plain.isascii() and not plain.replace(" ", "").isalpha():
+        plain = " ".join(plain.translate(_other_numbers()).split())
     return f" {plain} ".encode("utf-8", "surrogatepass") if plain else b""
 
 
