@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tuplewise.llm import decontamination, fingerprints, html_extraction, language_id, licenses, near_dedup, packing, quality, sharding, suffix_dedup
 from tuplewise.llm._common import held_out, summed
+from tuplewise.llm.graphs import components
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 WORDS = [a + b for a in "ka ke lo mi nu pa ri so tu ve".split() for b in "rin dal mon tes gul fa zi".split()]
@@ -549,6 +550,27 @@ def brute_components(rows, words, percent):
     return collections.Counter((i, len(sets[k]), least.get(root(k))) for k, (i, _) in enumerate(rows))
 
 
+def test_components(spark):
+    r = random.Random(8)
+    path = list(range(100, 140))
+    r.shuffle(path)
+    links = [*zip(path, path[1:]), *((7, x) for x in range(200, 230)), (3, 2), (2, 3), (5, 5), *((r.randrange(300, 360), r.randrange(300, 360)) for _ in range(45))]
+    parent = {}
+
+    def root(x):
+        parent.setdefault(x, x)
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = {x.node: x.root for x in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {x: root(x) for x in list(parent)} and components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
 @pytest.mark.parametrize("words,percent", [(3, 85), (5, 80)])
 def test_near_duplicates(spark, docs, none, awkward, words, percent):
     r = random.Random(11)

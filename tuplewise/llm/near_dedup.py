@@ -331,8 +331,14 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     if not rest.isEmpty():
         sets = _sets(rest.select("c"), df, nodes, id_col, text_col, words)
         across = _hopeful(_across(rest, sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100)
-        links = links.union(_confirmed(materialise(across, "across"), sets, percent))
-        roots = materialise(components(links), "roots")
+        more = _confirmed(materialise(across, "across"), sets, percent)
+        # Only the roots of components are linked anew, and most have no such link.
+        ends = rest.select("c", "root").distinct()
+        a, b = (ends.select(F.col("c").alias(end), F.col("root").alias(f"root_{end}")) for end in ("a", "b"))
+        joined = components(more.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+        first = roots.select("node", "root").union(ends.where("c = root").select("c", "root")).distinct()  # with roots that had no link
+        roots = first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+        roots = materialise(roots, "roots")
 
     placed = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("set_key", "class_id", F.coalesce("root", "c").alias("root"))
     first = placed.groupBy("root").agg(F.min("class_id").alias("component"))
