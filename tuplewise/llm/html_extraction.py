@@ -28,6 +28,7 @@ import html
 import re
 from collections import Counter, defaultdict
 from dataclasses import dataclass, field, replace
+from itertools import accumulate
 from urllib.parse import urlsplit
 
 import numpy as np
@@ -255,12 +256,20 @@ def text_tokens(page: Page, at: int, text: str, once: bool) -> list[int]:
     return [_hash(key, w) for w in text.split()] if once else [_hash(key, " " + text)]
 
 
-def _within(page: Page, i: int) -> list[bool]:
-    out = [False] * len(page.keys)
-    out[i] = True
-    for j in range(i + 1, len(out)):
-        out[j] = out[page.parents[j]]
-    return out
+def _ends(page: Page) -> list[int]:
+    """For each element, one more than the last one within it: elements are in page order, so all between are within."""
+    end = list(range(1, len(page.keys) + 1))
+    for i in range(len(end) - 1, 0, -1):
+        end[page.parents[i]] = max(end[page.parents[i]], end[i])
+    return end
+
+
+def _sums(page: Page, weight: list) -> list:
+    """Sums of the weights of blocks over the elements before each one, and over all."""
+    of = [0] * (len(page.keys) + 1)
+    for a, w in zip(page.at, weight, strict=True):
+        of[a + 1] += w
+    return list(accumulate(of))
 
 
 def main_text(page: Page, template: Template) -> str:
@@ -289,22 +298,22 @@ def main_text(page: Page, template: Template) -> str:
         if not any(weight):
             weight = [float(len(t)) for t in page.texts]
 
-    def total(of: list[float], inside: list[bool]) -> float:
-        return sum(w for w, a in zip(of, page.at, strict=True) if inside[a])
-
     # Hints: an element that holds most of the varying text, and the page's headings, is not set aside by its name.
-    keys, flags = page.keys, page.flags
-    hinted = [False] * len(keys)
-    heads = [k for k in range(n) if flags[page.at[k]] & TOP]
-    plain = [not any(flags[j] & HINTED for j in _ancestors(page, a)) for a in page.at]
-    open_ = [w if p else 0.0 for w, p in zip(weight, plain, strict=True)]
+    keys, flags, parents, at, end = page.keys, page.flags, page.parents, page.at, _ends(page)
+    tagged, named = [bool(f & HINTED) for f in flags], [bool(f & NAMED) for f in flags]
+    for i in range(1, len(keys)):
+        tagged[i] |= tagged[parents[i]]
+        named[i] |= named[parents[i]]
+    heads = [k for k in range(n) if flags[at[k]] & TOP]
+    text = _sums(page, [0 if tagged[a] else w for w, a in zip(weight, at, strict=True)])
+    tops = _sums(page, [int(k in heads and not tagged[a]) for k, a in enumerate(at)])
+    unnamed = any(w for w, a in zip(weight, at, strict=True) if not tagged[a] and not named[a])
+    hinted = list(tagged)
     for i in range(1, len(keys)):
-        hinted[i] = hinted[page.parents[i]] or bool(flags[i] & HINTED)
+        hinted[i] |= hinted[parents[i]]
         if flags[i] & NAMED and not hinted[i]:
-            inside = _within(page, i)
-            most = total(open_, inside) >= MAIN_SHARE * sum(open_) > 0
-            holds = all(inside[page.at[k]] for k in heads if plain[k])
-            hinted[i] = not (most and holds and (any(plain[k] for k in heads) or _only(page, i, open_)))
+            most = text[end[i]] - text[i] >= MAIN_SHARE * text[-1] > 0
+            hinted[i] = not (most and tops[end[i]] - tops[i] == tops[-1] and (tops[-1] or not unnamed))
     free = [k for k in range(n) if not hinted[page.at[k]]]
     if not free:
         return ""
@@ -317,26 +326,24 @@ def main_text(page: Page, template: Template) -> str:
 
     def container(i: int) -> int:
         while i and (flags[i] & (PART | LINK) or template.of.get(keys[i]) in template.repeats or not bound[i]):
-            i = page.parents[i]
+            i = parents[i]
         return i
 
     main = container(main)
-    inside = _within(page, main)
-    taken = {k for k in free if inside[page.at[k]]}
+    taken = {k for k in free if main <= at[k] < end[main]}
     while main:
-        above = container(page.parents[main])
-        wider = _within(page, above)
-        more = [k for k in free if wider[page.at[k]] and not inside[page.at[k]] and not records[k] and slot[k] not in links]
+        above = container(parents[main])
+        more = [k for k in free if above <= at[k] < end[above] and not main <= at[k] < end[main] and not records[k] and slot[k] not in links]
         has = sum(weight[k] for k in taken)
         parts: dict[int, list[int]] = defaultdict(list)  # by the parent's child that they stand in
         for k in more:
-            parts[_child(page, page.at[k], above)].append(k)
+            parts[_child(page, at[k], above)].append(k)
         titled = any(k in taken for k in heads)
         adds = [k for i, ks in parts.items() for k in ks if sum(weight[j] for j in ks) >= SHARE * has or (flags[i] & PART or i == above) and weight[k] or not titled and k in heads]
         if sum(weight[k] for k in adds) < SHARE * has and (titled or not any(k in heads for k in adds)):
             adds = []
         taken.update(adds)
-        main, inside = above, wider
+        main = above
 
     beside = {s for k, s in enumerate(slot) if records[k]} & links
     kept = [k for k in sorted(taken) if slot[k] not in beside]
@@ -348,12 +355,6 @@ def main_text(page: Page, template: Template) -> str:
     return "\n".join(page.texts[k] for k in kept)
 
 
-def _ancestors(page: Page, i: int):
-    while i >= 0:
-        yield i
-        i = page.parents[i]
-
-
 def _child(page: Page, i: int, above: int) -> int:
     """The child of ``above`` around ``i``; ``above`` itself for its own text."""
     while i != above and page.parents[i] != above:
@@ -361,12 +362,6 @@ def _child(page: Page, i: int, above: int) -> int:
     return i
 
 
-def _only(page: Page, i: int, weight: list[float]) -> bool:
-    """Whether no element without a name holds text outside of ``i``."""
-    inside = _within(page, i)
-    return not any(w for w, a in zip(weight, page.at, strict=True) if not inside[a] and not any(page.flags[j] & NAMED for j in _ancestors(page, a)))
-
-
 def host(url: str | None) -> str:
     try:
         return (urlsplit(url or "").hostname or "").lower()
@@ -411,7 +406,7 @@ _SUMS = "host string, kind int, k long, v long, s1 long, s2 long, n long, lo lon
 HELD = 200_000
 
 
-class _Sums(dict):
+class _Rows(dict):
     """Rows of _SUMS by (host, kind, k, v)."""
 
     def add(self, key, s1: int, s2: int, lo: int, hi: int) -> None:
@@ -441,7 +436,7 @@ def _element_sums(pages: DataFrame) -> DataFrame:
     """_SUMS of elements: k is the path, v the parent's, lo and hi its least and largest count on a page."""
 
     def count(batches):
-        sums = _Sums()
+        sums = _Rows()
         for batch in batches:
             for at, mark, keys, parents in zip(batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2), batch.column(3), strict=True):
                 every = keys.values.to_numpy()
@@ -453,7 +448,7 @@ def _element_sums(pages: DataFrame) -> DataFrame:
                         sums.add((at, 0, k, v), a, b, c, c)
             if len(sums) >= HELD:
                 yield sums.batch()
-                sums = _Sums()
+                sums = _Rows()
         if sums:
             yield sums.batch()
 
@@ -475,7 +470,7 @@ def _page_sums(pages: DataFrame) -> DataFrame:
     names = ["host", "page", "n_pages", "classes", "roles", *_LISTS]
 
     def count(batches):
-        sums, cached, template, once = _Sums(), None, Template(), set()
+        sums, cached, template, once = _Rows(), None, Template(), set()
         for batch in batches:
             hosts, marks, sizes, classes, roles = batch.column(0).to_pylist(), batch.column(1).to_numpy(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)
             for i, page in enumerate(_pages_of(batch, names)):
@@ -502,7 +497,7 @@ def _page_sums(pages: DataFrame) -> DataFrame:
                         sums.add((at, TEXT, k, 0), a, b, 0, 0)
                 if len(sums) >= HELD:
                     yield sums.batch()
-                    sums = _Sums()
+                    sums = _Rows()
         if sums:
             yield sums.batch()
 
