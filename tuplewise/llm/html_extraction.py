@@ -304,7 +304,7 @@ def main_text(page: Page, template: Template) -> str:
     for i in range(1, len(keys)):
         tagged[i] |= tagged[parents[i]]
         named[i] |= named[parents[i]]
-    heads = [k for k in range(n) if flags[at[k]] & TOP]
+    heads = {k for k in range(n) if flags[at[k]] & TOP}
     text = _sums(page, [0 if tagged[a] else w for w, a in zip(weight, at, strict=True)])
     tops = _sums(page, [int(k in heads and not tagged[a]) for k, a in enumerate(at)])
     unnamed = any(w for w, a in zip(weight, at, strict=True) if not tagged[a] and not named[a])
@@ -314,7 +314,7 @@ def main_text(page: Page, template: Template) -> str:
         if flags[i] & NAMED and not hinted[i]:
             most = text[end[i]] - text[i] >= MAIN_SHARE * text[-1] > 0
             hinted[i] = not (most and tops[end[i]] - tops[i] == tops[-1] and (tops[-1] or not unnamed))
-    free = [k for k in range(n) if not hinted[page.at[k]]]
+    free = [k for k in range(n) if not hinted[at[k]]]
     if not free:
         return ""
 
@@ -347,11 +347,10 @@ def main_text(page: Page, template: Template) -> str:
 
     beside = {s for k, s in enumerate(slot) if records[k]} & links
     kept = [k for k in sorted(taken) if slot[k] not in beside]
-    main_records = records[best]
-    kept = [k for k in kept if main_records or not records[k] or score[slot[k]] >= score[slot[best]] * MAIN_SHARE]
-    left = [k for k in kept if known[k] and not flags[page.at[k]] & HEADING]
+    kept = [k for k in kept if records[best] or not records[k] or score[slot[k]] >= score[slot[best]] * MAIN_SHARE]
+    left = {k for k in kept if known[k] and not flags[at[k]] & HEADING}
     if template.pages >= TEXT_PAGES and sum(len(page.texts[k]) for k in left) <= OWN_SHARE * sum(len(page.texts[k]) for k in kept):
-        kept = [k for k in kept if k not in set(left)]
+        kept = [k for k in kept if k not in left]
     return "\n".join(page.texts[k] for k in kept)
 
 
