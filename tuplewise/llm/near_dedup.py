@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ._common import WordHashes, documents, materialise, mixed, shared, summed
+from ._common import WordHashes, documents, marks, materialise, mixed, release, shared, summed, taken
 from .graphs import components
 
 ROWS = 5
@@ -300,6 +300,25 @@ def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return a.join(b, ["x"]).where(can).select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct()
 
 
+def _rooted_anew(roots: DataFrame, rest: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` (node, root), and those of ``rest`` (c, root), after the links ``more``. Only roots are linked, and most have no such link."""
+    ends = rest.select("c", "root").distinct()
+    a, b = (ends.select(F.col("c").alias(end), F.col("root").alias(f"root_{end}")) for end in ("a", "b"))
+    joined = components(more.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    first = roots.select("node", "root").union(ends.where("c = root")).distinct()  # with roots that had no link
+    return first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+
+
+def _roots(find, *tables: DataFrame) -> DataFrame:
+    """The written result of ``find``, without what it took to find it."""
+    since = marks()
+    found = find(*tables)
+    spent = taken(since)
+    found = materialise(found, "roots")
+    release(spent)
+    return found
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles, component_id, kept.
 
@@ -315,30 +334,31 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
 
     keyed = _keyed(nodes)
     several = keyed.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    shared = materialise(keyed.join(several, "key"), "buckets")
+    buckets = materialise(keyed.join(several, "key"), "buckets")
     #: The hub of a bucket is the member with most company in all its buckets, for copies mostly the text they stem from.
-    company = shared.groupBy("c").agg(F.sum("size").alias("company"))
-    hubs = shared.join(company, "c").groupBy("key").agg(F.max_by("c", F.struct("company", "c")).alias("hub"))
-    stars = shared.join(hubs, "key").where("c <> hub").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct()
+    company = buckets.groupBy("c").agg(F.sum("size").alias("company"))
+    hubs = buckets.join(company, "c").groupBy("key").agg(F.max_by("c", F.struct("company", "c")).alias("hub"))
+    stars = buckets.join(hubs, "key").where("c <> hub").select(F.least("hub", "c").alias("a"), F.greatest("hub", "c").alias("b")).distinct()
     stars = materialise(stars, "stars")
+    since = marks()
     tried = materialise(_hopeful(stars, nodes, percent / 100), "tried")
-    links = _confirmed(tried, _sets(_ends(tried), df, nodes, id_col, text_col, words), percent)
-    roots = materialise(components(links), "roots")
+    sets = _sets(_ends(tried), df, nodes, id_col, text_col, words)
+    spent = taken(since)
+    links = _confirmed(tried, sets, percent)
+    release(spent)
+    roots = _roots(components, links)
 
-    at = shared.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
+    at = buckets.join(roots.select(F.col("node").alias("c"), "root"), "c", "left").withColumn("root", F.coalesce("root", "c"))
     split = at.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     rest = materialise(at.join(split, "key", "left_semi").select("c", "root").distinct(), "mixed")
     if not rest.isEmpty():
+        since = marks()
         sets = _sets(rest.select("c"), df, nodes, id_col, text_col, words)
-        across = _hopeful(_across(rest, sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100)
-        more = _confirmed(materialise(across, "across"), sets, percent)
-        # Only the roots of components are linked anew, and most have no such link.
-        ends = rest.select("c", "root").distinct()
-        a, b = (ends.select(F.col("c").alias(end), F.col("root").alias(f"root_{end}")) for end in ("a", "b"))
-        joined = components(more.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
-        first = roots.select("node", "root").union(ends.where("c = root").select("c", "root")).distinct()  # with roots that had no link
-        roots = first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
-        roots = materialise(roots, "roots")
+        across = materialise(_hopeful(_across(rest, sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100), "across")
+        spent = taken(since)
+        more = _confirmed(across, sets, percent)
+        release(spent)
+        roots = _roots(_rooted_anew, roots, rest, more)
 
     placed = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("set_key", "class_id", F.coalesce("root", "c").alias("root"))
     first = placed.groupBy("root").agg(F.min("class_id").alias("component"))
