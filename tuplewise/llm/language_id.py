@@ -130,12 +130,12 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12, rate
     emb = r.normal(0, 0.1, (BUCKETS, DIMENSIONS)).astype(np.float32)
     out, bias = np.zeros((DIMENSIONS, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     label = np.array([languages.index(x[2]) for x in rows])
-    share = [(c / c.sum()).astype(np.float32) for _, c, _ in rows]
+    share = lambda i: (rows[i][1] / rows[i][1].sum()).astype(np.float32)
     out[:] = r.normal(0, 0.3, out.shape)
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in r.permutation(fit):
-            ids, w = rows[i][0], share[i]
+            ids, w = rows[i][0], share(i)
             h = w @ emb[ids]
             p = _softmax(h @ out + bias)
             p[label[i]] -= 1
@@ -144,7 +144,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, str]], epochs: int = 12, rate
             bias -= step * 0.1 * p
             emb[ids] -= (step * 100 * w)[:, None].clip(0, step) * back  # of a mean over many subwords, steps are scaled up
     table = emb @ out
-    raw = np.array([share[i] @ table[rows[i][0]] + bias for i in hold])
+    raw = np.array([share(i) @ table[rows[i][0]] + bias for i in hold])
     loss = lambda t: -np.log(np.maximum(_softmax(raw / t)[np.arange(len(hold)), label[hold]], 1e-12)).mean()
     temperature = min((0.25, 0.35, 0.5, 0.7, 1.0, 1.4, 2.0, 2.8, 4.0), key=loss)
     best = np.sort(_softmax(raw / temperature).max(axis=1))
@@ -166,8 +166,15 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col:
             yield pa.RecordBatch.from_arrays([pa.array([i.astype(np.uint16).tobytes() for i, _ in rows], pa.binary()), pa.array([np.minimum(c, 2**32 - 1).astype(np.uint32).tobytes() for _, c in rows], pa.binary()), batch.column(1)], ["ids", "counts", "lang"])
 
     got = few.select(text_col, lang_col).mapInArrow(count, "ids binary, counts binary, lang string").toLocalIterator()
-    rows = [(np.frombuffer(x.ids, np.uint16), np.frombuffer(x.counts, np.uint32), x.lang) for x in got]
-    return train([x for x in rows if len(x[0])])
+    ids, counts, ends, langs = bytearray(), bytearray(), [0], []  # two large buffers, which the system gets back afterwards
+    for x in got:
+        if x.ids:
+            ids += x.ids
+            counts += x.counts
+            ends.append(len(ids) // 2)
+            langs.append(x.lang)
+    flat, times = np.frombuffer(ids, np.uint16), np.frombuffer(counts, np.uint32)
+    return train([(flat[a:b], times[a:b], lang) for a, b, lang in zip(ends, ends[1:], langs)])
 
 
 def identify(df: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
