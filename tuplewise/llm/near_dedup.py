@@ -163,7 +163,7 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
                 keep = estimate(ra, rb) >= least - 5 * (least * (1 - least) / ra.shape[1]) ** 0.5
                 yield batch.filter(pa.array(keep)).select(["a", "b"])
 
-    regs = nodes.select("c", "registers")
+    regs = nodes.select("c", "registers").hint("merge")  # grows with the data: not sent through the driver
     both = pairs.join(regs.select(F.col("c").alias("a"), F.col("registers").alias("ra")), "a").join(regs.select(F.col("c").alias("b"), F.col("registers").alias("rb")), "b")
     return both.select("a", "b", "ra", "rb").mapInArrow(check, "a long, b long")
 
@@ -208,6 +208,7 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 keep.append(100 * same >= percent * (small + large - same))
             yield batch.filter(pa.array(keep, pa.bool_())).select(["a", "b"])
 
+    sets = sets.hint("merge")
     both = pairs.join(sets.select(F.col("c").alias("a"), F.col("data").alias("da")), "a").join(sets.select(F.col("c").alias("b"), F.col("data").alias("db")), "b")
     return materialise(both.select("a", "b", "da", "db").mapInArrow(check, "a long, b long"), "links")
 
@@ -304,9 +305,9 @@ def _rooted_anew(roots: DataFrame, rest: DataFrame, more: DataFrame) -> DataFram
     """``roots`` (node, root), and those of ``rest`` (c, root), after the links ``more``. Only roots are linked, and most have no such link."""
     ends = rest.select("c", "root").distinct()
     a, b = (ends.select(F.col("c").alias(end), F.col("root").alias(f"root_{end}")) for end in ("a", "b"))
-    joined = components(more.join(a, "a").join(b, "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
+    joined = components(more.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
     first = roots.select("node", "root").union(ends.where("c = root")).distinct()  # with roots that had no link
-    return first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
+    return first.join(joined.select(F.col("node").alias("root"), F.col("root").alias("new")).hint("merge"), "root", "left").select("node", F.coalesce("new", "root").alias("root"))
 
 
 def _roots(find, *tables: DataFrame) -> DataFrame:
@@ -360,10 +361,10 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
         release(spent)
         roots = _roots(_rooted_anew, roots, rest, more)
 
-    placed = nodes.join(roots.withColumnRenamed("node", "c"), "c", "left").select("set_key", "class_id", F.coalesce("root", "c").alias("root"))
+    placed = nodes.join(roots.withColumnRenamed("node", "c").hint("merge"), "c", "left").select("set_key", "class_id", F.coalesce("root", "c").alias("root"))
     first = placed.groupBy("root").agg(F.min("class_id").alias("component"))
-    of = placed.join(first, "root").select("set_key", "component")
-    out = rows.select(id_col, "n_shingles", "set_key").join(of, "set_key", "left")
+    of = placed.join(first.hint("merge"), "root").select("set_key", "component")
+    out = rows.select(id_col, "n_shingles", "set_key").join(of.hint("merge"), "set_key", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col(id_col))
     return out.select(id_col, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(id_col)).alias("kept"))
 
