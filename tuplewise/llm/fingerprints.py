@@ -138,19 +138,42 @@ def composed(text: Column) -> Column:
     return F.when(text.rlike("[^\\x{0}-\\x{2ff}]") & text.rlike(f"[{u}]"), whole).otherwise(text)
 
 
-def folded(text: Column) -> Column:
-    """Case folding, as of Unicode's full mappings."""
-    one, several = _folds()
-    said = F.when(text.rlike(f"[{_ranges({a for a, _ in one})}]"), F.translate(text, "".join(a for a, _ in one), "".join(b for _, b in one))).otherwise(text)
-    more = said
+def _fold_one(text: Column) -> Column:
+    """Characters whose case folding is another one than lower case."""
+    one, _ = _folds()
+    return F.when(text.rlike(f"[{_ranges({a for a, _ in one})}]"), F.translate(text, "".join(a for a, _ in one), "".join(b for _, b in one))).otherwise(text)
+
+
+def _fold_several(text: Column) -> Column:
+    """Characters that case folding makes several of; then lower case."""
+    _, several = _folds()
+    more = text
     for a, b in several:
         more = F.replace(more, F.lit(a), F.lit(b))
-    return F.lower(F.when(said.rlike(f"[{_ranges({a for a, _ in several})}]"), more).otherwise(said))
+    return F.lower(F.when(text.rlike(f"[{_ranges({a for a, _ in several})}]"), more).otherwise(text))
+
+
+def _spaced(text: Column) -> Column:
+    return F.trim(F.regexp_replace(text, r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " "))
+
+
+#: The steps of normalisation: composition, case folding, white space. Null stays null.
+STEPS = (composed, _fold_one, _fold_several, _spaced)
+
+
+def normalised(df: DataFrame, text_col: str, name: str, steps=STEPS) -> DataFrame:
+    """``df`` with the normalised text as ``name``. Each step is a projection of its own, as it reads its input several times."""
+    own = [c for c in df.columns if c != name]
+    df = df.withColumn("_step", F.col(text_col))
+    for step in steps:
+        df = df.withColumn("_step", step(F.col("_step")))
+    return df.select(*own, F.col("_step").alias(name))
 
 
-def canonical(text: Column) -> Column:
-    """Null stays null."""
-    return F.trim(F.regexp_replace(folded(composed(text)), r"[\s\u0085\u00A0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]+", " "))
+def with_digest(df: DataFrame, text_col: str, name: str) -> DataFrame:
+    """``df`` with the digest of the normalised text as ``name``."""
+    own = [c for c in df.columns if c != name]
+    return normalised(df, text_col, "_canon").select(*own, digest(F.col("_canon")).alias(name))
 
 
 def digest(canon: Column) -> Column:
@@ -170,15 +193,15 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", diges
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     if digests is None:
-        digests = df.select(id_col, digest(canonical(text)).alias("fingerprint"))
+        digests = with_digest(df.select(id_col, text.alias("_text")), "_text", "fingerprint").select(id_col, "fingerprint")
     own = digests.select(F.col(id_col).alias("_id"), "fingerprint")
     repeated = own.groupBy("fingerprint").count().where("count > 1").select("fingerprint")
     some = materialise(own.join(repeated, "fingerprint", "left_semi").select("_id", "fingerprint"), "repeated")
     ids = some.select(F.col("_id").alias("_k")).distinct()
     if some.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
-    canon = df.select(F.col(id_col).alias("_id"), text.alias("_text")).join(ids, F.col("_id").eqNullSafe(F.col("_k")), "left_semi").select("_id", canonical(F.col("_text")).alias("_canon"))
-    canon = canon.withColumn("fingerprint", digest(F.col("_canon")))
+    canon = df.select(F.col(id_col).alias("_id"), text.alias("_text")).join(ids, F.col("_id").eqNullSafe(F.col("_k")), "left_semi").select("_id", "_text")
+    canon = normalised(canon, "_text", "_canon").select("_id", "_canon", digest(F.col("_canon")).alias("fingerprint"))
     found = materialise(canon.groupBy("fingerprint", "_canon").agg(F.min("_id").alias("class_id"), F.count("*").alias("n_copies")).where("n_copies > 1").drop("_canon"), "digest-classes")
     if not found.groupBy("fingerprint").count().where("count > 1").isEmpty():
         raise ValueError("two texts share a 128-bit digest; choose another seed")
@@ -221,12 +244,12 @@ def op7_canonical_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n_blocks = min(BLOCKS, max(size // BLOCK_BYTES, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
-    own = docs.withColumn("fingerprint", digest(canonical(F.col("text"))))
+    own = with_digest(docs, "text", "fingerprint")
     rows = with_next(own, "doc_id", ["text", "fingerprint"], n_blocks)
     n = F.char_length("text")
     edited = F.expr("concat(left(text, char_length(text) - int(floor(char_length(text) / 4))), left(next.text, int(floor(char_length(text) / 4))))")
     rows = rows.select("doc_id", n.cast("long").alias("n_chars"), F.when(n >= 4, edited).otherwise(F.col("text")).alias("edited"), "fingerprint", F.col("next.fingerprint").alias("next_fingerprint"))
-    rows = rows.withColumn("edited_fingerprint", digest(canonical(F.col("edited")))).withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
+    rows = with_digest(rows, "edited", "edited_fingerprint").withColumn("edited_sha256", F.sha2(F.col("edited").cast("binary"), 256)).drop("edited")
     rows = materialise(rows, "fingerprints")
     found = classes(docs, digests=rows)
     like = lambda a, b: (F.col(a) == F.col(b)).cast("double")
