@@ -617,6 +617,57 @@ def test_near_duplicates_by_joined_counts(spark, monkeypatch):
     assert got == brute_components(rows, 3, 85)
 
 
+def shuffled(spark, run):
+    """Bytes that ``run`` shuffles, and what it returns."""
+    sc = spark.sparkContext._jsc.sc()
+
+    def written():
+        sc.listenerBus().waitUntilEmpty()
+        every = sc.statusStore().executorList(False)
+        return sum(every.apply(i).totalShuffleWrite() for i in range(every.size()))
+
+    before = written()
+    found = run()
+    return written() - before, found
+
+
+def test_joined_counts_shuffle_little_more_than_the_sets(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    pool = r.integers(0, 2**64, 100_000, np.uint64)
+    common = pool[:3]  # in all sets
+    rows = [(c, c % 50, np.unique(np.append(common, r.choice(pool, r.integers(1, 800)))).tobytes()) for c in range(500)]
+    counts = collections.Counter(x for _, _, d in rows for x in np.frombuffer(d, np.int64).tolist())
+    want = set()
+    for c, root, d in rows:
+        own = sorted(np.frombuffer(d, np.int64).tolist(), key=lambda x: (counts[x], x))
+        want |= {(x, p + 1, len(own), c, root) for p, x in enumerate(own[: near_dedup._front(len(own), 85)])}
+    total = sum(len(d) for *_, d in rows) // 8
+    df = spark.createDataFrame(rows, "c long, root long, data binary").repartition(3).localCheckpoint()
+    sent, got = shuffled(spark, lambda: near_dedup._few_by_join(df, 85).collect())
+    assert {tuple(x) for x in got} == want and len(got) == len(want)
+    assert sent < 2.5 * 8 * total  # as rows of shingles, 5 times their bytes
+    monkeypatch.setattr(near_dedup, "CHUNK", 10_000)
+    monkeypatch.setattr(near_dedup, "BLOCK", 20_000)
+    assert {tuple(x) for x in near_dedup._few_by_join(df, 85, total).collect()} == want  # of many chunks and blocks
+
+
+def test_sets_are_shuffled_once(spark):
+    r = np.random.default_rng(9)
+    texts = spark.createDataFrame([(i, " ".join(f"w{x}" for x in r.integers(0, 10**6, 300))) for i in range(300)], "doc_id long, text string").repartition(3).localCheckpoint()
+    rows = near_dedup._profiles(texts, "doc_id", "text", 3, 25)
+    nodes = rows.select("set_key", F.col("doc_id").alias("class_id"), "registers", F.col("doc_id").alias("c")).localCheckpoint()
+    wanted = spark.range(300).select(F.col("id").alias("c"), (F.col("id") % 7).alias("root")).localCheckpoint()
+    broadcast = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        sent, sets = shuffled(spark, lambda: near_dedup._sets(wanted, texts, nodes, "doc_id", "text", 3))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    want = {x.doc_id: (x.doc_id % 7, near_dedup.shingles(x.text, 3).tobytes()) for x in texts.collect()}
+    assert sent < 1.5 * sum(len(d) for _, d in want.values())
+    assert {x.c: (x.root, x.data) for x in sets.collect()} == want
+
+
 def test_registers_estimate():
     r = np.random.default_rng(3)
     a, b = r.integers(0, 2**64, 3000, np.uint64), r.integers(0, 2**64, 3000, np.uint64)

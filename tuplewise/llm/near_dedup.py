@@ -29,6 +29,8 @@ MISS = 5e-7
 MANTISSA_BITS = 10
 #: A table of counts has so many bits at most, of about as many cells as there are shingles; beyond it counts are joined.
 TABLE_BITS = 22
+#: Joined counts: shingles of a chunk of sets, which asks once for each of its shingles, and of a block, in which they are counted.
+CHUNK, BLOCK = 1 << 17, 1 << 20
 #: Needed nodes of which the ids may be broadcast: 1 million of 8 bytes.
 BROADCAST_IDS = 1_000_000
 _K = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63, 0xD6E8FEB86659FD93)]
@@ -169,8 +171,9 @@ def _hopeful(pairs: DataFrame, nodes: DataFrame, least: float) -> DataFrame:
 
 
 def _sets(wanted: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
-    """(c, data): the full sets of the nodes ``wanted`` (c), made again from their texts only."""
-    needed = materialise(nodes.join(wanted, "c", "left_semi").select("c", "set_key", F.col("class_id").alias("_id")), "needed")
+    """(c, data): the full sets of the nodes ``wanted`` (c, a row each), made again from their texts only. Other columns of ``wanted`` stay."""
+    more = [v for v in wanted.columns if v != "c"]
+    needed = materialise(nodes.join(wanted, "c").select("c", "set_key", F.col("class_id").alias("_id"), *more), "needed")
     ids = needed.select("_id").distinct()
     if needed.count() <= BROADCAST_IDS:
         ids = F.broadcast(ids)
@@ -185,8 +188,8 @@ def _sets(wanted: DataFrame, df: DataFrame, nodes: DataFrame, id_col: str, text_
                 sets = [shingles(t.as_py(), words).tobytes() for t in batch.column(0).slice(at, 500)]
                 yield pa.RecordBatch.from_arrays([pa.array([xxhash.xxh3_128_digest(s) for s in sets], pa.binary()), pa.array(sets, pa.binary())], ["set_key", "data"])
 
-    made = texts.select("text").mapInArrow(make, "set_key binary, data binary").join(needed.select("c", "set_key"), "set_key")
-    return materialise(made.dropDuplicates(["c"]).select("c", "data"), "sets")
+    made = texts.select("text").mapInArrow(make, "set_key binary, data binary").join(needed.select("c", "set_key", *more), "set_key")
+    return materialise(made.dropDuplicates(["set_key"]).select("c", *more, "data"), "sets")  # by the join's key: sets are shuffled once
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -240,6 +243,16 @@ def _front(n: int, percent: int) -> int:
     return n - (percent * n + 99) // 100 + 1
 
 
+def _fronts(columns, percent: int, count) -> list[np.ndarray]:
+    """x, p, n, c, root: the fronts of sets, by ``count``, which gives the counts of a set's shingles."""
+    out = [[np.zeros(0, np.int64)] * 5]
+    for c, root, data in zip(columns[0].to_pylist(), columns[1].to_pylist(), columns[2], strict=True):
+        x = np.frombuffer(data.as_buffer(), np.int64)
+        n = _front(len(x), percent)
+        out.append([x[np.lexsort((x, count(x)))[:n]], np.arange(1, n + 1), np.full(n, len(x)), np.full(n, c), np.full(n, root)])
+    return [np.concatenate(v) for v in zip(*out, strict=True)]
+
+
 def _few_by_table(mixed_sets: DataFrame, percent: int, bits: int) -> DataFrame:
     """The front of every set, by counts in a table of at most 2 ** TABLE_BITS cells that is broadcast."""
     table = shared(mixed_sets.sparkSession, _frequencies(mixed_sets, bits))
@@ -250,47 +263,77 @@ def _few_by_table(mixed_sets: DataFrame, percent: int, bits: int) -> DataFrame:
         counts = table.value
         shift = np.uint64(64 - (len(counts) - 1).bit_length())
         for batch in batches:
-            out = []
-            for c, root, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.uint64)
-                n = _front(len(x), percent)
-                x = x[np.lexsort((x, counts[(x >> shift).astype(np.int64)]))[:n]]
-                out.append((x.view(np.int64), np.arange(1, n + 1), np.full(n, len(data.as_buffer()) // 8), np.full(n, c), np.full(n, root)))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in zip(*out, strict=True)], ["x", "p", "n", "c", "root"])
+            few = _fronts(batch.columns, percent, lambda x: counts[(x.view(np.uint64) >> shift).astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(v) for v in few], ["x", "p", "n", "c", "root"])
+
+    return mixed_sets.select("c", "root", "data").mapInArrow(first_few, "x long, p long, n long, c long, root long")
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """All first bytes of the numbers, then all second ones: the zeros of small numbers are compressed away."""
+    return np.ascontiguousarray(x).view(np.uint8).reshape(len(x), -1).T.tobytes()
+
+
+def _unpacked(data, dtype: str) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(np.dtype(dtype).itemsize, -1).T).view(dtype).ravel()
+
 
-    return mixed_sets.mapInArrow(first_few, "x long, p long, n long, c long, root long")
+def _few_by_join(mixed_sets: DataFrame, percent: int, total: int = 0) -> DataFrame:
+    """The front of every set, by exact counts that are joined: for more shingles than a table tells apart.
 
+    ``total`` is about the number of shingles. Chunks of sets send their distinct shingles, sorted, to the blocks of
+    the range of hashes; a block adds up its shingles and answers each chunk in the order asked. So the sets are
+    shuffled once and not as rows of shingles, and a shingle of all sets is one of each chunk only.
+    """
+    chunks, shift = total // CHUNK + 1, np.uint64(64 - max(1, (total // BLOCK).bit_length()))
 
-def _few_by_join(mixed_sets: DataFrame, percent: int) -> DataFrame:
-    """The front of every set, by exact counts that are joined: for more shingles than a table tells apart."""
+    def each(sets):
+        return np.unique(np.frombuffer(b"".join(sets.column("data").to_pylist()), np.uint64), return_counts=True)
 
-    def each(batches):
+    def ask(key, sets):
         import pyarrow as pa
 
-        for batch in batches:
-            for c, root, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                x = np.frombuffer(data.as_buffer(), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(np.full(len(x), len(x))), pa.array(np.full(len(x), c)), pa.array(np.full(len(x), root))], ["x", "n", "c", "root"])
+        x, times = each(sets)
+        block = (x >> shift).astype(np.int64)
+        at = np.flatnonzero(np.diff(block)) + 1
+        steps = [_packed(np.diff(part, prepend=np.uint64(0))) for part in np.split(x, at)]
+        times = [_packed(part) for part in np.split(times.astype("<u4"), at)]
+        return pa.table({"chunk": np.full(len(steps), key[0].as_py()), "block": block[np.append(0, at)], "steps": pa.array(steps, pa.binary()), "times": pa.array(times, pa.binary())})
+
+    def answer(asked):
+        import pyarrow as pa
+
+        xs = [np.cumsum(_unpacked(v.as_buffer(), "<u8"), dtype=np.uint64) for v in asked.column("steps")]
+        times = np.concatenate([_unpacked(v.as_buffer(), "<u4") for v in asked.column("times")])
+        found, of = np.unique(np.concatenate(xs), return_inverse=True)
+        counts = np.bincount(of, times, len(found)).astype("<u4")[of]
+        counts = [_packed(part) for part in np.split(counts, np.cumsum([len(x) for x in xs[:-1]], dtype=np.int64))]
+        return pa.table({"chunk": asked.column("chunk"), "block": asked.column("block"), "counts": pa.array(counts, pa.binary())})
+
+    def first_few(sets, answers):
+        import pyarrow as pa
+
+        x = each(sets)[0]
+        counts = np.concatenate([_unpacked(v.as_buffer(), "<u4") for v in answers.sort_by("block").column("counts")])
+        few = _fronts([sets.column(v) for v in ("c", "root", "data")], percent, lambda own: counts[np.searchsorted(x, own.view(np.uint64))])
+        return pa.table(dict(zip(("x", "p", "n", "c", "root"), few, strict=True)))
 
-    rows = mixed_sets.mapInArrow(each, "x long, n long, c long, root long")
-    counts = rows.groupBy("x").agg(F.count("*").alias("k")).where("k > 1")
-    ranked = rows.join(counts, "x", "left").groupBy("c", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("k", F.lit(1)).alias("k"), "x"))).alias("xs"))
-    n = F.col("n") - F.floor((percent * F.col("n") + 99) / 100).cast("long") + 1
-    return ranked.select(F.posexplode(F.slice("xs", F.lit(1), n.cast("int"))).alias("p", "one"), "n", "c", "root").select(F.col("one.x").alias("x"), (F.col("p") + 1).cast("long").alias("p"), "n", "c", "root")
+    dealt = mixed_sets.select(F.pmod(F.xxhash64("c"), F.lit(chunks)).cast("long").alias("chunk"), "c", "root", "data")
+    asked = dealt.groupBy("chunk").applyInArrow(ask, "chunk long, block long, steps binary, times binary")
+    answers = asked.groupBy("block").applyInArrow(answer, "chunk long, block long, counts binary")
+    return dealt.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(first_few, "x long, p long, n long, c long, root long")
 
 
-def _across(mixed_nodes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different roots that can reach the similarity, by the rare shingles they share.
+def _across(mixed_sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) of nodes (c, root, data) of different roots that can reach the similarity, by the rare shingles they share.
 
     All shingles have one order, rare ones first. Sets of that similarity share a shingle among their first
     few, and the first one they share leaves enough behind it in both. Only pairs for which that holds meet.
     A shingle's most frequent root meets the others only, so one large component costs no pairs of its own.
     """
-    mixed_sets = mixed_nodes.join(sets, "c").select("c", "root", "data")
-    total = mixed_sets.agg(F.sum(F.length("data"))).first()[0] or 0
-    bits = max(12, (total // 8).bit_length())
-    few = _few_by_table(mixed_sets, percent, bits) if bits <= TABLE_BITS else _few_by_join(mixed_sets, percent)
+    total = (mixed_sets.agg(F.sum(F.length("data"))).first()[0] or 0) // 8
+    bits = max(12, total.bit_length())
+    few = _few_by_table(mixed_sets, percent, bits) if bits <= TABLE_BITS else _few_by_join(mixed_sets, percent, total)
     few = materialise(few, "prefixes")
     roots = few.groupBy("x", "root").count().groupBy("x").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots")).where("roots > 1").select("x", "main")
     few = materialise(few.join(roots, "x"), "shared-prefixes")
@@ -354,8 +397,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, id_col: st
     rest = materialise(at.join(split, "key", "left_semi").select("c", "root").distinct(), "mixed")
     if not rest.isEmpty():
         since = marks()
-        sets = _sets(rest.select("c"), df, nodes, id_col, text_col, words)
-        across = materialise(_hopeful(_across(rest, sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100), "across")
+        sets = _sets(rest, df, nodes, id_col, text_col, words)
+        across = materialise(_hopeful(_across(sets, percent).join(stars, ["a", "b"], "left_anti"), nodes, percent / 100), "across")
         spent = taken(since)
         more = _confirmed(across, sets, percent)
         release(spent)
